@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import cut, discard
+
+__all__ = ["CELLS", "GAP", "SPACE", "UPPER", "WORD", "cut", "discard", "let", "n_words_of", "with_rank", "words_of"]
+
 #: The white space of all contracts: space and the five controls from tab to carriage return.
 SPACE = " \t\n\x0b\f\r"
 #: A word is a run of anything else (Java regular expression).
@@ -21,42 +23,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CELLS = 1021
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it.  Only a single-process session may go
-    without; it then gets a temporary folder.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="stripeworks-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: nothing is computed twice, nothing is lost with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cuts/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a ``cut`` that nothing reads any more."""
-    path = getattr(df, "_cut_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` computed once, even where the optimizer would copy it into a lambda."""
     return F.transform(F.array(value), body)[0]
