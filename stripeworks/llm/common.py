@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..storage import cut, discard
 
-__all__ = ["CELLS", "GAP", "SPACE", "UPPER", "WORD", "cut", "discard", "let", "n_words_of", "with_rank", "words_of"]
+__all__ = ["CELLS", "GAP", "SPACE", "UPPER", "WORD", "cut", "discard", "let", "map_texts", "n_words_of", "with_rank", "words_of"]
 
 #: The white space of all contracts: space and the five controls from tab to carriage return.
 SPACE = " \t\n\x0b\f\r"
@@ -40,6 +40,16 @@ def n_words_of(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, GAP))).cast("long")
 
 
+def map_texts(docs: DataFrame, id_col: str, text: str, work: Callable, fields: str) -> DataFrame:
+    """``work`` over pandas batches of ``doc_id`` and ``t``, giving ``doc_id`` and ``fields``.
+
+    Ids travel as text, as pandas has no exact integers beside nulls.
+    """
+    kind = docs.schema[id_col].dataType
+    out = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text).alias("t")).mapInPandas(work, f"doc_id string, {fields}")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def with_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], cell: Column, into: str) -> DataFrame:
     """Add the 0-based rank of each row within ``group``, by ``cell``, then ``order``.
 

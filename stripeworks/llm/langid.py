@@ -13,9 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import map_texts
 from .quality_model import held_out
 
 PROFILE = 300
@@ -113,8 +113,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
         for b in batches:
             yield pd.DataFrame([(i, *one(t)) for i, t in zip(b["doc_id"], b["t"])], columns=["doc_id", "lang_pred", "score"])
 
-    kind = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).mapInPandas(work, kind)
+    return map_texts(docs, id_col, text, work, "lang_pred string, score double")
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", **how) -> DataFrame:

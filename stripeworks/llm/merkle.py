@@ -78,13 +78,13 @@ def differing_branches(a: Column, b: Column) -> Column:
         inner = let(
             F.arrays_zip(pars(x).alias("p"), pars(y).alias("q")),
             lambda z: F.filter(
-                F.transform(z, lambda e, j: F.when(~e["0"].eqNullSafe(e["1"]), F.struct(i.alias("section"), j.alias("paragraph")))), lambda e: e.isNotNull()
+                F.transform(z, lambda e, j: F.when(~e.p.eqNullSafe(e.q), F.struct(i.alias("section"), j.alias("paragraph")))), lambda e: e.isNotNull()
             ),
         )
         return F.when(x.isNull() | y.isNull(), whole).when(F.substring(x, 1, 16) == F.substring(y, 1, 16), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(inner)
 
-    zipped = F.arrays_zip(body(a), body(b))
-    return F.flatten(F.transform(zipped, lambda e, i: either(e["0"], e["1"], i)))
+    zipped = F.arrays_zip(body(a).alias("p"), body(b).alias("q"))
+    return F.flatten(F.transform(zipped, lambda e, i: either(e.p, e.q, i)))
 
 
 def with_next(docs: DataFrame, id_col: str, columns: list[str], th: str, parts: int) -> DataFrame:

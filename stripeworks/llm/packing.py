@@ -20,9 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import CELLS, cut, with_rank
+from .common import CELLS, cut, map_texts, with_rank
 
 CAPACITY, END = 1024, 0
 VOCABULARY = "byte_bpe_50k.json"
@@ -71,8 +70,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
     """
     path = path or vocabulary_path()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
-    fields = [T.StructField("doc_id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in names[1:5]]]
-    fields += [T.StructField("ids", T.BinaryType())] * with_ids
+    fields = ", ".join([f"{n} long" for n in names[1:5]] + ["ids binary"] * with_ids)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -86,7 +84,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
                     rows.append((doc, at, len(own) // 4, zlib.crc32(own), n, *[own] * with_ids))
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).mapInPandas(work, T.StructType(fields))
+    return map_texts(docs, id_col, text, work, fields)
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

@@ -15,8 +15,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import map_texts
 
 ROUNDS = 8
 #: For trials; give your own, and keep it.
@@ -266,7 +266,7 @@ def _second(text: str, m: re.Match, key: bytes, inverse: bool) -> tuple[str, int
     return None
 
 
-SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
+SPANS = "array<struct<kind:string,start:int,length:int>>"
 
 
 def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", key: bytes = KEY) -> DataFrame:
@@ -283,5 +283,4 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ke
                 rows.append((i, new, [{"kind": k, "start": s, "length": n} for k, s, n in spans]))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "found"])
 
-    kind = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text", T.StringType()), T.StructField("found", SPANS)])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).mapInPandas(work, kind)
+    return map_texts(docs, id_col, text, work, f"text string, found {SPANS}")

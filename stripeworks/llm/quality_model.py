@@ -18,9 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, map_texts
 from .quality_rules import STOP_WORDS, SYMBOLS
 
 FEATURES, RIDGE, SEED = 256, 1e-3, 11
@@ -70,8 +69,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "x": [statistics(t) for t in b["t"]]})
 
-    kind = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).mapInPandas(work, kind)
+    return map_texts(docs, id_col, text, work, "x array<double>")
 
 
 @dataclass
@@ -168,8 +166,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = np.array(b["x"].tolist(), float).reshape(-1, len(STATISTICS))
+            own = np.array(b["t"].tolist(), float).reshape(-1, len(STATISTICS))
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": model.score(own) if model else np.full(len(own), 0.5)})
 
-    scored = x.mapInPandas(work, T.StructType([x.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+    scored = map_texts(x, "doc_id", "x", work, "score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

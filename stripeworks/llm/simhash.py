@@ -22,10 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.components import components
-from .common import cut, discard
+from .common import cut, discard, map_texts
 
 BITS, SEGMENTS, DISTANCE, SHINGLE, SEED = 64, 5, 2, 3, 42
 #: Allowed differences in the first 1, 2, ... segments of a chain.
@@ -90,8 +89,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
             fps = np.array([simhash(t, shingle, seed) for t in b["t"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps})
 
-    kind = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).mapInPandas(work, kind)
+    return map_texts(docs, id_col, text, work, "fp long")
 
 
 def _forest(fps: np.ndarray, start: int, free: int) -> list[tuple[int, int]]:

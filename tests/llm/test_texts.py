@@ -1,0 +1,165 @@
+"""Operators on each text for itself, and on lines."""
+
+import hashlib
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from stripeworks.llm import langid, line_dedup, pseudonyms, quality_model, quality_rules
+
+
+def test_quality_rules_match_brute_force(docs, rows):
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        want = brute.quality_base(t)
+        assert {k: got[i][k] for k in want} == want, t
+        assert not (got[i].kept and want["base_failed"])
+
+
+def test_quality_rules_reject_junk_and_keep_prose(spark):
+    prose = "The house of the miller stood by the river and it was old, with a roof that the wind had bent over the years of its life. " * 1
+    texts = {"prose": prose + "In the end all of them went to the town to see what was there.", "symbols": "### $$$ word " * 40, "shout": " ".join(f"W{i}ORDS!!" for i in range(60)), "runs": " ".join(w for x in "abcde" for w in [x * 4] * 9)}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(df).collect()}
+    assert kept == {0: True, 1: False, 2: False, 3: False}
+
+
+def test_quality_rules_use_no_user_function(docs):
+    plan = quality_rules.judge(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("least", [2, 4])
+def test_line_dedup_matches_brute_force(docs, rows, least):
+    want = brute.line_dedup([r[1] for r in rows], least)
+    got = {r.doc_id: r for r in line_dedup.drop_frequent_lines(docs, min_docs=least).collect()}
+    assert any(d for _, _, d in want)
+    for (i, *_), (text, n, dropped) in zip(rows, want):
+        assert (got[i].text, got[i].n_lines, got[i].n_dropped) == (text, n, dropped)
+
+
+def test_line_dedup_drops_whole_documents_to_empty(spark):
+    df = spark.createDataFrame([(i, "same\n\n Same ") for i in range(3)], "doc_id long, text string")
+    assert {(r.text, r.n_dropped) for r in line_dedup.drop_frequent_lines(df, min_docs=3).collect()} == {("", 2)}
+
+
+def test_pseudonyms_are_valid_linked_and_reversible():
+    text = "mail jo.doe@mail.example.com or +1 (988) 555-2485, card 4111 1111 1111 1111, ip 10.0.0.255, born 1980-02-29 or 12/31/1999, DE89370400440532013000, 123-45-6789"
+    new, spans = pseudonyms.rewrite(text)
+    assert {k for k, *_ in spans} == {"email", "phone", "card", "ipv4", "date", "iban", "ssn"}
+    again, found = pseudonyms.rewrite(new)
+    assert [k for k, *_ in found] == [k for k, *_ in spans], "pseudonyms pass the same checks"
+    assert pseudonyms.rewrite(new, inverse=True)[0] == text
+    for _, s, n in spans:
+        assert text[s : s + n] not in new
+    card = "4111111111111111"
+    assert pseudonyms.rewrite(card)[0] == pseudonyms.rewrite("x " + card)[0][2:], "equal values stay linked"
+    assert pseudonyms.rewrite(card, b"other")[0] != pseudonyms.rewrite(card)[0]
+
+
+@pytest.mark.parametrize("clean", ["version 4.0.1 of 12 parts", "4111 1111 1111 1112", "999.1.1.1", "31.02.2020 and 2020-13-01", "costs 1,234,567.89", "000-12-3456", "", "plain words"])
+def test_pseudonyms_leave_the_rest_alone(clean):
+    assert pseudonyms.rewrite(clean) == (clean, [])
+
+
+def test_permutation_is_one():
+    for n in (2, 10, 97, 1000):
+        image = [pseudonyms.permute(i, n, b"k", b"t") for i in range(n)]
+        assert sorted(image) == list(range(n))
+        assert [pseudonyms.permute(i, n, b"k", b"t", True) for i in image] == list(range(n))
+
+
+def _labelled(spark, n=400):
+    import random
+
+    rng = random.Random(3)
+    good = ["the", "of", "and", "river", "house", "old", "went", "town", "years", "there"]
+    out, labels = [], []
+    for i in range(n):
+        w = [rng.choice(good) + rng.choice(["", "s", ","]) for _ in range(rng.randint(20, 80))]
+        bad = i % 4 == 0
+        out.append((i, " ".join(x + "###" for x in w) if bad else " ".join(w) + "."))
+        labels.append((i, 0 if bad else 1))
+    return spark.createDataFrame(out, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_quality_model_on_held_out_rows(spark):
+    docs, labels = _labelled(spark)
+    got = quality_model.classify(docs, labels, n_features=64).join(labels, "doc_id").filter("held_out").collect()
+    assert len(got) > 60
+    assert sum(r.predicted == r.quality for r in got) / len(got) > 0.97
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_quality_model_ignores_held_out_labels(spark):
+    docs, labels = _labelled(spark)
+    turned = labels.withColumn("quality", F.when(quality_model.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = (sorted(quality_model.classify(docs, x, n_features=32).collect()) for x in (labels, turned))
+    assert [(r.doc_id, round(r.score, 9)) for r in a] == [(r.doc_id, round(r.score, 9)) for r in b]
+
+
+def test_isotonic_pools_violators():
+    import numpy as np
+
+    at, level = quality_model.isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 3, 1, 4]), np.array([4.0, 4, 4, 4]))
+    assert level.tolist() == [0.0, 0.5, 1.0] and at.tolist() == [0.0, 1.5, 3.0]
+
+
+def test_language_profiles(spark):
+    words = {"en": "the of and with that thing", "de": "der die und nicht über schön", "fr": "le les été que élève ça"}
+    rows = [(i, " ".join(w.split()[(i + k) % 6] for k in range(3 + i % 20)), l) for i, (l, w) in enumerate(list(words.items()) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(docs).join(docs, "doc_id").filter("held_out").collect()
+    assert len(got) > 30 and sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
+    und = langid.identify(spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !?"), (4, "𝟚 ٣")], "doc_id long, text string"), {"en": langid.ranked(langid.ngrams("the"))}).collect()
+    assert {(r.lang_pred, r.score) for r in und} == {("und", 0.0)}
+
+
+def test_ngrams_against_slices():
+    def plain(t):
+        out = []
+        for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+            p = "\0" + w + "\0"
+            out += list(w) + [p[i : i + 2] for i in range(len(p) - 1)] + [p[i : i + 3] for i in range(len(p) - 2)]
+        return sorted(out)
+
+    def spelled(code):
+        s = ""
+        while code:
+            s = ("\0" if code & 0x1FFFFF == 1 else chr((code & 0x1FFFFF) - 1)) + s
+            code >>= 21
+        return s
+
+    for t in ("Ab, cde  f", "x", "Straße 9 über", "𐐀b"):
+        assert sorted(spelled(int(c)) for c in langid.ngrams(t)) == plain(t)
+
+
+def test_odd_rows(spark, odd, none):
+    n = odd.count()
+    labels = spark.createDataFrame([(5, 1), (6, 0), (None, 1), (7, None), (999, 0), (5, 1)], "doc_id long, quality int")
+    made = {
+        "rules": quality_rules.judge(odd),
+        "lines": line_dedup.drop_frequent_lines(odd, min_docs=2),
+        "pii": pseudonyms.pseudonymise(odd),
+        "model": quality_model.classify(odd, labels, n_features=16),
+        "lang": langid.predict(odd),
+    }
+    for name, df in made.items():
+        got = df.collect()
+        assert len(got) == n, name
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((r.doc_id is None, r.doc_id or 0) for r in odd.collect()), name
+    empty = labels.limit(0)
+    for df in (quality_rules.judge(none), line_dedup.drop_frequent_lines(none), pseudonyms.pseudonymise(none), quality_model.classify(none, empty), langid.predict(none)):
+        assert df.collect() == []
+    assert {r.score for r in quality_model.classify(odd, empty).collect()} == {0.5}
+    lines = {r.doc_id: r for r in made["lines"].collect() if r.doc_id in (6, 9)}
+    assert lines[6].text == "" and lines[6].n_lines == 2 and lines[6].size == "x".replace("x", "z")
+    assert lines[9].n_dropped == 0 and lines[9].n_lines == 3002
+
+
+def test_line_hash(spark):
+    df = spark.createDataFrame([(1, "A\nb")], "doc_id long, text string")
+    r = line_dedup.drop_frequent_lines(df).select(F.sha2("text", 256).alias("h")).first()
+    assert r.h == hashlib.sha256(b"A\nb").hexdigest()
