@@ -66,5 +66,92 @@ from k
 """
 
 
+def fingerprints() -> str:
+    cut = f"regexp_replace(p, '({merkle.ENDS}) ', '\\1 ' || chr(31), 'g')"
+    hashes = "list_transform(a, lambda x: x.h)"
+    phrases = "list_distinct(list_filter(string_split_regex({}, '[ :=,|;]'), lambda x: length(x) = 6))"
+    near = "round(case when a.fp[1:32] = {0}.fp[1:32] then 1.0 else len(list_intersect(a.ph, {0}.ph)) * 2 / (len(a.ph) + len({0}.ph)) end, 6)::double"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+n as (select doc_id, text, length(text) // 2 as half, coalesce(lead(text) over w, first_value(text) over w) as next_text,
+             coalesce(lead(doc_id) over w, first_value(doc_id) over w) as next_id from d window w as (order by doc_id desc)),
+t as (select doc_id, false as edited, text, next_id from n
+      union all select doc_id, true, substr(text, 1, length(text) - half) || substr(next_text, 1, half), next_id from n),
+s0 as (select doc_id, edited, text, next_id, list_transform(string_split(text, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p:
+       {{'h': md5(p), 'b': array_to_string(list_transform(string_split({cut}, chr(31)), lambda y: md5(y)[1:6]), ',')}})) as pars from t),
+s1 as (select * exclude (pars), list_transform(pars, lambda a: {{'h': md5(array_to_string({hashes}, '')),
+       'b': array_to_string(list_transform(a, lambda x: x.h[1:12] || '=' || x.b), '|')}}) as a from s0),
+f as (select doc_id, edited, text, next_id, sha256(array_to_string({hashes}, ''))[1:32] || ' ' || array_to_string(list_transform(a, lambda x: x.h[1:16] || ':' || x.b), ';') as fp from s1),
+g as (select *, {phrases.format('fp')} as ph from f)
+select a.doc_id, length(a.text)::bigint as n_chars, sha256(b.text) as edited_sha256, a.fp as fingerprint, b.fp as edited_fingerprint,
+       {near.format('b')} as near_edited, {near.format('c')} as near_next
+from g a join g b on a.doc_id = b.doc_id and b.edited join g c on c.doc_id = a.next_id and not c.edited where not a.edited
+"""
+
+
+def reputation() -> str:
+    def weight(source: str, n: str, s: str) -> str:
+        """``source`` has n, s and the parent's rate m."""
+        spread, noise, room = f"sum({n} * ({s}::double / {n} - m) ** 2)", "sum(m * (1 - m))", f"sum(m * (1 - m) * ({n} - 1))"
+        rho = f"case when {room} > 0 then ({spread} - {noise}) / {room} end"
+        return f"(select coalesce(round(least(greatest(case when {rho} > 0 then 1 / ({rho}) - 1 else {hosts.HEAVIEST} end, {hosts.LIGHTEST}), {hosts.HEAVIEST}), 6), {hosts.HEAVIEST}) from {source})"
+
+    which, said = "null", "null"
+    for verdict, h, p in sorted(hosts.RULES, key=lambda r: (len(r[1]) + len(r[2]), r[1] + r[2])):
+        fits = f"(p.host = '{h}' or ends_with(p.host, '.{h}')) and starts_with(p.path, '{p}')"
+        which, said = f"case when {fits} then '{h + p}' else {which} end", f"case when {fits} then '{verdict}' else {said} end"
+    two = ", ".join(f"'{x}'" for x in hosts.TWO_LABEL_SUFFIXES)
+    ip = "regexp_full_match({}, '[0-9.]+')"
+    domain = f"case when len(string_split(host, '.')) < 2 or {ip.format('host')} then host when array_to_string(string_split(host, '.')[-2:], '.') in ({two}) then array_to_string(string_split(host, '.')[-3:], '.') else array_to_string(string_split(host, '.')[-2:], '.') end"
+    suffix = f"case when strpos(domain, '.') = 0 or {ip.format('domain')} then domain else substr(domain, strpos(domain, '.') + 1) end"
+    return f"""
+with r as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages),
+p as (select page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*', 0), ''), {AZ}) as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from r),
+shown as (select page_id, host, regexp_extract(path, '/([0-9]{{1,18}})(\\.html)?/?$', 1) as ref from p),
+o as (select host, quality = 1 and toxic = 0 as good from shown join labels l on ref <> '' and l.doc_id = try_cast(ref as bigint) where quality is not null and toxic is not null),
+every as (select *, {suffix} as suffix from (select *, {domain} as domain from (select distinct host from p))),
+h as (select host, domain, suffix, count(*) as n, count(*) filter (good) as s from o join every using (host) where good is not null group by all),
+d as (select domain, suffix, sum(n)::bigint as dn, sum(s)::bigint as ds from h group by all),
+x as (select suffix, sum(dn)::bigint as sn, sum(ds)::bigint as ss from d group by all),
+base as (select coalesce(sum(s)::double / nullif(sum(n), 0), {hosts.PRIOR_RATE}) as m from h),
+hm as (select n, s, ds::double / dn as m from h join d using (domain)), dm as (select dn, ds, ss::double / sn as m from d join x using (suffix)), xm as (select sn, ss, m from x, base),
+k as (select {weight('hm', 'n', 's')} as wh, {weight('dm', 'dn', 'ds')} as wd, {weight('xm', 'sn', 'ss')} as ws, m as base from base),
+u as (select host, coalesce(n, 0) as n, coalesce(s, 0) as s, coalesce(dn, 0) as dn, coalesce(ds, 0) as ds, (coalesce(ss, 0) + ws * base) / (coalesce(sn, 0) + ws) as rs, wh, wd
+      from every left join (select host, n, s from h) using (host) left join (select domain, dn, ds from d) using (domain) left join x using (suffix), k),
+v as (select host, (s + wh * (ds + wd * rs) / (dn + wd)) / (n + wh) as rate, n + wh as t from u),
+w as (select host, round(rate, 6) as rate, round(rate - {hosts.Z} * sqrt(rate * (1 - rate) / (t + 1)), 6) as bound from v)
+select p.page_id, p.host, p.path, {which} as rule, coalesce({said}, case when bound >= {hosts.MIN_GOOD} then 'allow' else 'block' end) as verdict, rate, bound
+from p join w using (host)
+"""
+
+
+def mix() -> str:
+    offsets = ", ".join(f"{u!r}::double" for u in mixing.offsets())
+    weights = " ".join(f"when {i} then {w}" for i, w in enumerate(mixing.WEIGHTS))
+    return rf"""
+with d as (select doc_id, source, len({WORDS})::bigint as size from documents),
+b as (select *, case when size < 16 then size else length(bin(size)) * 16 + (size * 16 >> length(bin(size))) end as bin, coalesce(((doc_id % 1021) + 1021) % 1021, 1021) as cell from d),
+r as (select *, row_number() over (partition by source order by bin, cell, size, doc_id) - 1 as rank from b),
+s as (select source, sum(size)::bigint as source_size, case (row_number() over (order by source nulls last) - 1) % {len(mixing.WEIGHTS)} {weights} end as w from d group by source),
+o as (select *, {mixing.MOST_COPIES} * source_size / w::double as ratio, {mixing.SHARE} * sum(source_size) over () as pool from s),
+q as (select *, (pool - coalesce(sum({mixing.MOST_COPIES} * source_size) over (order by ratio, source rows between unbounded preceding and 1 preceding), 0))
+             / sum(w) over (order by ratio, source rows between current row and unbounded following) as level from o),
+l as (select min_by(level, ratio) as level from q where level <= ratio),
+t as (select source, source_size, least({mixing.MOST_COPIES} * source_size::double, w * level) as target from s, l),
+c as (select r.*, source_size, target, case when source_size = 0 then 0.0::double else target / source_size end as rate from r join t on r.source is not distinct from t.source),
+u as (select unnest([{offsets}]) as u, unnest(range({mixing.OFFSETS})) as k),
+e as (select source, u, k, abs(sum(size * (floor((rank + 1) * rate + u) - floor(rank * rate + u))) - any_value(target)) as off from c, u group by all),
+best as (select source, min_by(u, off * 1e6 + k) as u from e group by source)
+select doc_id, size, source_size, round(target, 6) as target, (size * (floor((rank + 1) * rate + u) - floor(rank * rate + u)))::bigint as taken
+from c join best on c.source is not distinct from best.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality(), "op9_line_dedup": line_dedup()}
+    return {
+        "op1_url_reputation": reputation(),
+        "op2_merkle_fingerprints": fingerprints(),
+        "op6_quality_rules": quality(),
+        "op9_line_dedup": line_dedup(),
+        "op10_mixing": mix(),
+    }
