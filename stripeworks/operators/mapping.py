@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from ..schema import RoadClass
 from ..storage import cut, discard
 from . import joins, kernels
 from .components import components
+from .grouped import Group, by_group
 
 _BOXES = [RoadClass.DASHED.value, RoadClass.GUIDE.value]
 _LINES = [RoadClass.SOLID.value, RoadClass.STOP.value]
@@ -77,25 +77,19 @@ def merge_box_clusters(boxes: DataFrame, mode: int = 0) -> DataFrame:
 
     A cluster is the sightings of one marking, a handful of rows.
     """
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("id")
-        yaw = np.radians(g["yaw_deg"].to_numpy())
+    def one(g: Group) -> Group:
+        yaw = np.radians(g["yaw_deg"])
         along, across = np.column_stack((np.cos(yaw), np.sin(yaw))), np.column_stack((np.sin(yaw), -np.cos(yaw)))
-        mean = g[["x", "y"]].to_numpy()
-        h, w = g["h"].to_numpy()[:, None] / 2, g["w"].to_numpy()[:, None] / 2
+        mean = np.column_stack((g["x"], g["y"]))
+        h, w = g["h"][:, None] / 2, g["w"][:, None] / 2
         box = np.stack([mean - along * h - across * w, mean - along * h + across * w, mean + along * h + across * w, mean + along * h - across * w], axis=1)
-        corners, sigma, heading = kernels.merge_boxes(mean, box, g[[f"sigma{i}" for i in range(4)]].to_numpy(), yaw, mode)
-        centre = corners.mean(0)
-        return pd.DataFrame(
-            {
-                "cluster": [g["cluster"].iloc[0]], "n": [len(g)], "x": [centre[0]], "y": [centre[1]],
-                "h": [np.linalg.norm(corners[2] - corners[1])], "w": [np.linalg.norm(corners[1] - corners[0])],
-                "heading": [heading], "sigma": [sigma.tolist()], "corners": [corners.ravel().tolist()],
-            }
-        )
+        corners, sigma, heading = kernels.merge_boxes(mean, box, np.column_stack([g[f"sigma{i}"] for i in range(4)]), yaw, mode)
+        x, y = corners.mean(0).tolist()
+        h, w = float(np.linalg.norm(corners[2] - corners[1])), float(np.linalg.norm(corners[1] - corners[0]))
+        return {"cluster": int(g["cluster"][0]), "n": len(yaw), "x": x, "y": y, "h": h, "w": w, "heading": heading, "sigma": [sigma.tolist()], "corners": [corners.ravel().tolist()]}
 
     cols = ["cluster", "id", "x", "y", "h", "w", "yaw_deg", *[f"sigma{i}" for i in range(4)]]
-    return boxes.select(*cols).groupBy("cluster").applyInPandas(one, MERGED_BOX)
+    return by_group(boxes.select(*cols), ["cluster"], ["id"], one, MERGED_BOX)
 
 
 def merge_boxes(boxes: DataFrame, mode: int, vehicle: tuple[float, float, float] | None, active: float = 3.0) -> DataFrame:
@@ -129,17 +123,19 @@ MERGED_LINE = "cluster long, n_lines int, vtx int, x double, y double, z double,
 
 def merge_line_clusters(vertices: DataFrame, road_class: int = RoadClass.SOLID.value, forward_deg: float = 0.0) -> DataFrame:
     """One polyline per cluster from vertices (cluster, line_id, vtx, x, y, z, sigma); a line alone stays as it is."""
-    smooth = 1 / (1 / 0.04) if road_class == RoadClass.SOLID.value else 0.0001
+    smooth = 0.04 if road_class == RoadClass.SOLID.value else 0.0001
     forward = np.array([np.cos(np.radians(forward_deg)), np.sin(np.radians(forward_deg))])
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["line_id", "vtx"])
-        n = g["line_id"].nunique()
-        pts, sig = g[["x", "y", "z"]].to_numpy(), g["sigma"].to_numpy()
+    def one(g: Group) -> Group | None:
+        n = len(np.unique(g["line_id"]))
+        pts, sig = np.column_stack((g["x"], g["y"], g["z"])), g["sigma"]
         line, var = (pts, np.column_stack((sig**2, sig**2))) if n == 1 else kernels.fuse_lines(pts, sig, forward, smooth)
-        return pd.DataFrame({"cluster": g["cluster"].iloc[0], "n_lines": n, "vtx": range(len(line)), "x": line[:, 0], "y": line[:, 1], "z": line[:, 2], "variance": var[:, 0]})
+        if not len(line):
+            return None
+        return {"cluster": int(g["cluster"][0]), "n_lines": n, "vtx": list(range(len(line))), "x": line[:, 0], "y": line[:, 1], "z": line[:, 2], "variance": var[:, 0]}
 
-    return vertices.select("cluster", "line_id", "vtx", "x", "y", "z", "sigma").groupBy("cluster").applyInPandas(one, MERGED_LINE)
+    rows = vertices.select("cluster", "line_id", "vtx", "x", "y", "z", "sigma")
+    return by_group(rows, ["cluster"], ["line_id", "vtx"], one, MERGED_LINE)
 
 
 def freeze_flags(instances: DataFrame, vehicle: tuple[float, float, float], distance: float = 10.0, longest: int = 50) -> DataFrame:

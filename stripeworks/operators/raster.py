@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..schema import CameraConfig
+from .grouped import Group, by_group
 
 
 def label_components(fg: np.ndarray) -> np.ndarray:
@@ -64,18 +65,19 @@ def label_mask(gray: np.ndarray, apart: int = 5) -> np.ndarray:
 
 def components(pixels: DataFrame, apart: int = 5) -> DataFrame:
     """``frame_id, row, col, gray, component`` of the foreground pixels; a component's number is its first pixel's row * 65536 + col."""
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        row, col = group["row"].to_numpy(), group["col"].to_numpy()
+    def one(g: Group) -> Group:
+        row, col = g["row"], g["col"]
         image = np.zeros((row.max() + 1, col.max() + 1), np.int32)
-        image[row, col] = group["gray"]
+        image[row, col] = g["gray"]
         labels = label_mask(image, apart)
         at = labels[row, col]
         fg = at > 0
         first = np.full(labels.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, at[fg], row[fg].astype(np.int64) * 65536 + col[fg])
-        return pd.DataFrame({"frame_id": group["frame_id"][fg], "row": row[fg], "col": col[fg], "gray": group["gray"][fg], "component": first[at[fg]]})
+        return {"frame_id": g["frame_id"][fg], "row": row[fg], "col": col[fg], "gray": g["gray"][fg], "component": first[at[fg]]}
 
-    return pixels.groupBy("frame_id").applyInPandas(one, "frame_id long, row int, col int, gray int, component long")
+    rows = pixels.select("frame_id", "row", "col", "gray")
+    return by_group(rows, ["frame_id"], ["row", "col"], one, "frame_id long, row int, col int, gray int, component long")
 
 
 def homography(k: np.ndarray, r: np.ndarray, d: float, cam: CameraConfig) -> np.ndarray:

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .grouped import Group, by_group
+
 
 def trailing_mean(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], n: int) -> DataFrame:
     """Adds ``mean_<c>`` over the last ``n`` rows, the current one included, and ``diff_<c>``."""
@@ -50,16 +51,12 @@ SLOPE = "seq_id long, pose_id long, diff_pitch double, diff_roll double, jump bo
 
 def slope_reset(poses: DataFrame, window: int = 20, threshold: float = 1.0) -> DataFrame:
     """Per sequence, in the order of ``t_us``: smoothed attitude and the frames at which the history starts anew."""
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t_us", "pose_id"])
+    def fold(g: Group) -> Group:
         state = SlopeState(window, threshold)
-        rows = [state.step(p, r) for p, r in zip(group["pitch_deg"], group["roll_deg"])]
-        out = pd.DataFrame(rows, columns=["diff_pitch", "diff_roll", "jump", "held"])
-        out.insert(0, "pose_id", group["pose_id"].to_numpy())
-        out.insert(0, "seq_id", group["seq_id"].to_numpy())
-        return out
+        rows = [state.step(p, r) for p, r in zip(g["pitch_deg"].tolist(), g["roll_deg"].tolist())]
+        return {"seq_id": g["seq_id"], "pose_id": g["pose_id"]} | {c: [r[i] for r in rows] for i, c in enumerate(("diff_pitch", "diff_roll", "jump", "held"))}
 
-    return poses.select("seq_id", "pose_id", "t_us", "pitch_deg", "roll_deg").groupBy("seq_id").applyInPandas(fold, SLOPE)
+    return by_group(poses.select("seq_id", "pose_id", "t_us", "pitch_deg", "roll_deg"), ["seq_id"], ["t_us", "pose_id"], fold, SLOPE)
 
 
 def ignored_frames(poses: DataFrame, jumps: DataFrame, back: int = 20, ahead: float = 13.5, right: float = 5.0) -> DataFrame:
@@ -120,21 +117,18 @@ def keyframes(poses: DataFrame, keys: Sequence[str], order: str, distance: float
     A frame is a keyframe if it is at least ``distance`` from the last
     keyframe; every ``every``-th is matched, and the newest frame is forced.
     """
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([order, "pose_id"])
-        x, y = group["x"].to_numpy(), group["y"].to_numpy()
+    def fold(g: Group) -> Group:
+        x, y = g["x"], g["y"]
         kept, last = [], None
         for i in range(len(x)):
             if last is None or np.hypot(x[i] - x[last], y[i] - y[last]) >= distance:
                 kept.append(i)
                 last = i
-        out = group.iloc[kept][[*keys, "pose_id"]].reset_index(drop=True)
-        out["ordinal"] = range(len(kept))
-        out["matched"] = [i % every == 0 or newest_too and j == len(x) - 1 for i, j in enumerate(kept)]
-        return out
+        out = {c: g[c][kept] for c in (*keys, "pose_id")}
+        return out | {"ordinal": list(range(len(kept))), "matched": [i % every == 0 or newest_too and j == len(x) - 1 for i, j in enumerate(kept)]}
 
     schema = ", ".join([*[f"{k} long" for k in keys], "pose_id long", "ordinal long", "matched boolean"])
-    return poses.select(*keys, "pose_id", order, "x", "y").groupBy(*keys).applyInPandas(fold, schema)
+    return by_group(poses.select(*keys, "pose_id", order, "x", "y"), keys, [order, "pose_id"], fold, schema)
 
 
 def curvature(df: DataFrame, line: str, order: str) -> DataFrame:

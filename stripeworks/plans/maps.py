@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import markings
 from ..operators import aggregates, joins, kernels, mapping
+from ..operators.grouped import Group, by_group
 from ..schema import PipelineConfig
 from . import d6, query, r6
 from .fixtures import frame, sql
@@ -261,19 +261,19 @@ def nearest_neighbours(spark, sf_dir):
 @query()
 def localize_window(spark, sf_dir):
     """Per sequence: the first poses displaced, their odometry exact, and lines of the map to pull them back."""
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("t_us").head(8)
+    def solve(g: Group) -> Group:
+        g = {k: v[:8] for k, v in g.items()}
         true_r = [kernels.rotation_of(np.array([0, 0, np.radians(a)])) for a in g["yaw_deg"]]
-        true_t = [np.array(v) for v in g[["x", "y", "z"]].to_numpy() / 10]
+        true_t = list(np.column_stack((g["x"], g["y"], g["z"])) / 10)
         off = np.array([0.3, -0.2, 0.05])
         w = kernels.Window([r @ kernels.rotation_of(np.array([0, 0, 0.01])) for r in true_r], [t + off for t in true_t])
-        w.odometry = [(i, i + 1, true_r[i].T @ true_r[i + 1], true_r[i].T @ (true_t[i + 1] - true_t[i])) for i in range(len(g) - 1)]
+        w.odometry = [(i, i + 1, true_r[i].T @ true_r[i + 1], true_r[i].T @ (true_t[i + 1] - true_t[i])) for i in range(len(true_t) - 1)]
         for i, (r, t) in enumerate(zip(true_r, true_t)):
             for p, along in (([3.0, 5, 0], [0, 1, 0]), ([-3.0, 8, 0], [0, 1, 0]), ([0, 10.0, 0], [1, 0, 0]), ([0, 4.0, 1.0], [1, 0, 0])):
                 q = r @ np.array(p) + t
                 w.lines.append((i, np.array(p), q, q + r @ np.array(along, float), 0.1))
         kernels.solve_window(w)
         err = [np.linalg.norm(a - b) for a, b in zip(w.t, true_t)]
-        return pd.DataFrame({"seq_id": g["seq_id"].to_numpy(), "pose_id": g["pose_id"].to_numpy(), "error": np.round(err, 4)})
+        return {"seq_id": g["seq_id"], "pose_id": g["pose_id"], "error": np.round(err, 4)}
 
-    return frame(spark, sf_dir, "pose").groupBy("seq_id").applyInPandas(solve, "seq_id long, pose_id long, error double")
+    return by_group(frame(spark, sf_dir, "pose"), ["seq_id"], ["t_us", "pose_id"], solve, "seq_id long, pose_id long, error double")

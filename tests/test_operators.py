@@ -142,3 +142,17 @@ def test_import_without_the_corpus_package():
     code = "import sys; sys.modules['stripeworks.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'eval_accuracy' in q and 'pipeline' not in q; print(len(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=here, capture_output=True, text=True, check=True)
     assert int(out.stdout) > 50
+
+
+def test_groups_that_span_batches(spark):
+    from stripeworks.operators.grouped import by_group
+
+    df = spark.createDataFrame([(i % 7, i) for i in range(1000)], "k long, v long").withColumn("k", F.when(F.col("v") < 700, 3).otherwise(F.col("k")).cast("long"))
+    want = {r.k: (r.n, r.s) for r in df.groupBy("k").agg(F.count("v").alias("n"), F.sum("v").alias("s")).collect()}
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = by_group(df, ["k"], ["v"], lambda g: {"k": int(g["k"][0]), "n": len(g["v"]), "s": int(g["v"].sum())}, "k long, n long, s long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert {r.k: (r.n, r.s) for r in got} == want and len(got) == len(want)
