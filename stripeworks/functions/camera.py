@@ -234,19 +234,24 @@ def perspective_to_ipm(u: Column, v: Column, r: Mat, d: float, height: int, widt
 PIXEL_VAR, PITCH_SIGMA, HEIGHT_SIGMA = 4.0, 0.3 / 57.3, 0.05
 
 
-def pixel_uncertainty(u: Column, v: Column, d: float, height: int, width: int, resolution: float, fx: float, fy: float) -> Mat:
-    """Covariance in metres of a raster pixel, from pixel, pitch and height noise; undefined on the horizon row."""
+def pixel_variances(u, v, d: float, height: int, width: int, resolution: float, fx: float, fy: float):
+    """(xx, xy, yy) of a raster pixel in square metres, from pixel, pitch and height noise; for Columns and arrays alike."""
     xi = (u * resolution - width * resolution / 2) / d
     yi = (v * resolution - (height - 1) * resolution) / d
-    y = -1 / yi
-    x = xi * y
     k = d / resolution
-    a, b, c = k / y / fx, -k * x / (y * y) / fy, k / (y * y) / fy
-    p0, p1 = k * x / (y * y), k * (1 + y * y) / (y * y)
+    # with y = -1 / yi the derivatives have no pole left, not even on the row below the camera
+    a, b, c = -k * yi / fx, k * xi * yi / fy, k * yi * yi / fy
+    p0, p1 = -k * xi * yi, k * (1 + yi * yi)
     h0, h1 = xi / resolution, yi / resolution
     vp, vh, s = PITCH_SIGMA**2, HEIGHT_SIGMA**2, resolution * resolution
     xx = (PIXEL_VAR * (a * a + b * b) + vp * p0 * p0 + vh * h0 * h0) * s
     xy = (PIXEL_VAR * b * c + vp * p0 * p1 + vh * h0 * h1) * s
     yy = (PIXEL_VAR * c * c + vp * p1 * p1 + vh * h1 * h1) * s
+    return xx, xy, yy
+
+
+def pixel_uncertainty(u: Column, v: Column, d: float, height: int, width: int, resolution: float, fx: float, fy: float) -> Mat:
+    """Covariance of a raster pixel, the height's sigma being half that ahead."""
+    xx, xy, yy = pixel_variances(u, v, d, height, width, resolution, fx, fy)
     o = F.lit(0.0)
     return [xx, xy, o, xy, yy, o, o, o, yy / 4]

@@ -144,74 +144,98 @@ class Window:
     lines: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, float]] = field(default_factory=list)
 
 
+def _hat(v: np.ndarray) -> np.ndarray:
+    """Cross-product matrices of vectors (..., 3)."""
+    out = np.zeros((*v.shape, 3))
+    out[..., 0, 1], out[..., 0, 2], out[..., 1, 2] = -v[..., 2], v[..., 1], -v[..., 0]
+    out[..., 1, 0], out[..., 2, 0], out[..., 2, 1] = v[..., 2], -v[..., 1], v[..., 0]
+    return out
+
+
+class _System:
+    """Normal equations of a window, assembled by 6 x 6 blocks: diagonal ones, and those of consecutive factors."""
+
+    PRIOR = 1 / np.array([10.0, 10, 10, 0.01, 0.01, 0.04])
+
+    def __init__(self, w: Window, huber: float):
+        self.w, self.n, self.huber = w, len(w.r), huber
+        if w.lines:
+            self.at = np.array([x[0] for x in w.lines])
+            self.p = np.array([x[1] for x in w.lines], float)
+            self.q = np.array([x[2] for x in w.lines], float)
+            u = np.array([x[3] for x in w.lines], float) - self.q
+            u /= np.linalg.norm(u, axis=1, keepdims=True)
+            self.off = np.eye(3) - u[:, :, None] * u[:, None, :]
+            self.off /= np.array([x[4] for x in w.lines], float)[:, None, None]
+            self.hat = _hat(self.p)
+        if w.odometry:
+            self.a, self.b = (np.array([x[i] for x in w.odometry]) for i in (0, 1))
+            self.r01, self.t01 = (np.array([x[i] for x in w.odometry], float) for i in (2, 3))
+            step = np.maximum(np.linalg.norm(self.t01, axis=1), 0.1)[:, None]
+            self.scale = 1 / np.hstack((step * [0.05, 0.1, 0.05], np.full((len(step), 3), 0.01)))
+
+    def build(self, r: np.ndarray, t: np.ndarray, full: bool = True):
+        """(cost, H, g), or the cost alone."""
+        n, cost = self.n, 0.0
+        h, g = np.zeros((n, n, 6, 6)), np.zeros((n, 6))
+        for i, r0, t0 in self.w.priors:
+            e = np.concatenate((t[i] - t0, log_of(np.asarray(r0).T @ r[i]))) * self.PRIOR
+            cost += e @ e / 2
+            h[i, i] += np.diag(self.PRIOR**2)
+            g[i] += self.PRIOR * e
+        if self.w.odometry:
+            ra, rb = r[self.a], r[self.b]
+            local = np.einsum("kji,kj->ki", ra, t[self.b] - t[self.a])
+            turn = np.einsum("kji,klj,klm->kim", self.r01, ra, rb)
+            e = np.hstack((local - self.t01, [log_of(x) for x in turn])) * self.scale
+            cost += (e * e).sum() / 2
+            if full:
+                ja, jb = np.zeros((len(e), 6, 6)), np.zeros((len(e), 6, 6))
+                rat = ra.transpose(0, 2, 1)
+                ja[:, :3, :3], ja[:, :3, 3:], jb[:, :3, :3] = -rat, _hat(local), rat
+                ja[:, 3:, 3:], jb[:, 3:, 3:] = -rb.transpose(0, 2, 1) @ ra, np.eye(3)
+                ja, jb = ja * self.scale[:, :, None], jb * self.scale[:, :, None]
+                for x, jx in ((self.a, ja), (self.b, jb)):
+                    np.add.at(g, x, np.einsum("kij,ki->kj", jx, e))
+                    for y, jy in ((self.a, ja), (self.b, jb)):
+                        np.add.at(h, (x, y), np.einsum("kia,kib->kab", jx, jy))
+        if self.w.lines:
+            ri = r[self.at]
+            e = np.einsum("kij,kj->ki", self.off, np.einsum("kij,kj->ki", ri, self.p) + t[self.at] - self.q)
+            size = np.linalg.norm(e, axis=1)
+            cost += np.where(size <= self.huber, size * size / 2, self.huber * (size - self.huber / 2)).sum()
+            if full:
+                weight = np.where(size <= self.huber, 1.0, self.huber / np.maximum(size, 1e-300))
+                j = np.concatenate((self.off, -self.off @ ri @ self.hat), axis=2)
+                np.add.at(g, self.at, np.einsum("kij,ki,k->kj", j, e, weight))
+                np.add.at(h, (self.at, self.at), np.einsum("kia,kib,k->kab", j, j, weight))
+        if not full:
+            return cost
+        return cost, h.transpose(0, 2, 1, 3).reshape(6 * n, 6 * n), g.ravel()
+
+
 def solve_window(w: Window, steps: int = 20, huber: float = 1.0) -> float:
     """Gauss-Newton with Levenberg's damping over all poses, in place; the final cost.
 
     A pose moves by t += dt, R <- R exp(dr).  Point-to-line residuals are in
     sigmas under Huber's loss.
     """
-    n = len(w.r)
-
-    def residuals(r, t, jac: bool):
-        rows, res, weight = [], [], []
-
-        def put(e, blocks, robust=False):
-            e = np.atleast_1d(e)
-            s = 1.0
-            if robust:
-                a = np.linalg.norm(e)
-                s = 1.0 if a <= huber else np.sqrt(huber / a)
-                cost.append(a * a / 2 if a <= huber else huber * (a - huber / 2))
-            else:
-                cost.append(e @ e / 2)
-            if jac:
-                j = np.zeros((len(e), 6 * n))
-                for i, b in blocks:
-                    j[:, 6 * i : 6 * i + 6] += b
-                rows.append(s * j)
-                res.append(s * e)
-                weight.append(s)
-
-        cost: list[float] = []
-        for i, r0, t0 in w.priors:
-            sr = np.array([0.01, 0.01, 0.04])
-            put(np.concatenate(((t[i] - t0) / 10.0, log_of(r0.T @ r[i]) / sr)), [(i, np.diag([0.1] * 3 + list(1 / sr)))])
-        for a, b, r01, t01 in w.odometry:
-            st = np.array([0.05, 0.1, 0.05]) * max(np.linalg.norm(t01), 0.1)
-            local = r[a].T @ (t[b] - t[a])
-            turn = r01.T @ r[a].T @ r[b]
-            e = np.concatenate(((local - t01) / st, log_of(turn) / 0.01))
-            ja, jb = np.zeros((6, 6)), np.zeros((6, 6))
-            hat = np.array([[0, -local[2], local[1]], [local[2], 0, -local[0]], [-local[1], local[0], 0]])
-            ja[:3, :3], ja[:3, 3:], jb[:3, :3] = -r[a].T / st[:, None], hat / st[:, None], r[a].T / st[:, None]
-            ja[3:, 3:], jb[3:, 3:] = -(r[b].T @ r[a]) / 0.01, np.eye(3) / 0.01
-            put(e, [(a, ja), (b, jb)])
-        for i, p, q0, q1, s in w.lines:
-            u = (q1 - q0) / np.linalg.norm(q1 - q0)
-            world = r[i] @ p + t[i]
-            e = (np.eye(3) - np.outer(u, u)) @ (world - q0) / s
-            hat = np.array([[0, -p[2], p[1]], [p[2], 0, -p[0]], [-p[1], p[0], 0]])
-            put(e, [(i, (np.eye(3) - np.outer(u, u)) @ np.hstack((np.eye(3), -r[i] @ hat)) / s)], robust=True)
-        if not jac:
-            return sum(cost)
-        return sum(cost), np.vstack(rows), np.concatenate(res)
-
-    damp = 1e-6
-    cost = residuals(w.r, w.t, False)
+    system = _System(w, huber)
+    r, t = np.array(w.r, float), np.array(w.t, float)
+    damp, cost = 1e-6, system.build(r, t, False)
     for _ in range(steps):
-        _, j, e = residuals(w.r, w.t, True)
-        h, g = j.T @ j, j.T @ e
+        _, h, g = system.build(r, t)
         for _ in range(8):
-            d = -np.linalg.solve(h + damp * (np.diag(np.diag(h)) + 1e-9 * np.eye(len(h))), g).reshape(n, 6)
-            r = [a @ rotation_of(x[3:]) for a, x in zip(w.r, d)]
-            t = [a + x[:3] for a, x in zip(w.t, d)]
-            new = residuals(r, t, False)
+            d = -np.linalg.solve(h + damp * np.diag(np.diag(h) + 1e-9), g).reshape(-1, 6)
+            r1, t1 = r @ np.array([rotation_of(x) for x in d[:, 3:]]), t + d[:, :3]
+            new = system.build(r1, t1, False)
             if new <= cost:
                 break
             damp *= 10
         else:
-            return cost
-        w.r, w.t, gain, cost, damp = r, t, cost - new, new, max(damp / 10, 1e-12)
-        if gain < 1e-10 * max(cost, 1e-12) and np.abs(d).max() < 1e-9:
             break
-    return cost
+        r, t, gain, cost, damp = r1, t1, cost - new, new, max(damp / 10, 1e-12)
+        if gain <= 1e-10 * max(cost, 1e-12) and np.abs(d).max() < 1e-9:
+            break
+    w.r, w.t = list(r), list(t)
+    return float(cost)

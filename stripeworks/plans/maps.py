@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import markings
-from ..operators import aggregates, joins, kernels, mapping
+from ..operators import aggregates, joins, kernels, localize, mapping
 from ..operators.grouped import Group, by_group
 from ..schema import PipelineConfig
 from . import d6, query, r6
@@ -277,3 +277,17 @@ def localize_window(spark, sf_dir):
         return {"seq_id": g["seq_id"], "pose_id": g["pose_id"], "error": np.round(err, 4)}
 
     return by_group(frame(spark, sf_dir, "pose"), ["seq_id"], ["t_us", "pose_id"], solve, "seq_id long, pose_id long, error double")
+
+
+@query("select i // 30 as traj_id, i % 30 as frame_id, 0.0::DOUBLE as x, 0.0::DOUBLE as y_off from range((select count(*) // 1000 * 30 from events)) t(i)")
+def localize_drive(spark, sf_dir):
+    """One displaced drive for each thousand events: lanes and stop lines of a made-up map pull all frames back."""
+    n = frame(spark, sf_dir, "pose").count() // 1000
+    lanes = spark.range(130).selectExpr("0 as road_class", "id as seg", "cast(if(id < 65, -2, 2) as double) as ax", "cast(id % 65 - 5 as double) as ay", "0.0D as az").selectExpr("*", "ax as bx", "ay + 1 as by", "0.0D as bz")
+    stops = spark.range(40).selectExpr("4 as road_class", "130 + id as seg", "cast(id % 4 - 2 as double) as ax", "cast(6 * (id div 4) as double) as ay", "0.0D as az").selectExpr("*", "ax + 1 as bx", "ay as by", "0.0D as bz")
+    frames = spark.range(n * 30).selectExpr("id div 30 as traj_id", "id % 30 as frame_id", "cast(id % 30 as double) as t", "array(1.0D, 0.0D, 0.0D, 0.0D, 1.0D, 0.0D, 0.0D, 0.0D, 1.0D) as r", "array(0.2D, id % 30 - 0.15D, 0.0D) as p")
+    sides = frames.selectExpr("traj_id", "frame_id", "explode(sequence(0, 5)) as k").selectExpr("traj_id", "frame_id", "cast(k as long) as pid", "0 as road_class", "cast(if(k % 2 = 0, -2, 2) as double) as x", "2.0D + k as y")
+    ahead = frames.selectExpr("traj_id", "frame_id", "explode(sequence(0, 3)) as k").selectExpr("traj_id", "frame_id", "cast(10 + k as long) as pid", "4 as road_class", "k - 1.5D as x", "cast(6 * (frame_id div 6 + 1) - frame_id as double) as y")
+    points = sides.unionByName(ahead).selectExpr("*", "0.0D as z", "0.1D as sigma")
+    out = localize.localize(frames, points, lanes.unionByName(stops), prior=False)
+    return out.selectExpr("traj_id", "frame_id", "round(p[0], 3) + 0.0D as x", "round(p[1] - frame_id, 3) + 0.0D as y_off")

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import camera, linear, markings
-from ..operators import aggregates, raster
+from ..operators import aggregates, extract, raster
+from ..schema import CameraConfig, PipelineConfig
 from . import d6, query, r6
 from .fixtures import ALPHA_DEG, HEIGHT_M, PINHOLE, RASTER, THETA_DEG, frame, mask, mask_sql, sql
 
@@ -283,3 +284,26 @@ def out_of_range(spark, sf_dir):
     below = F.lead("gray").over(Window.partitionBy("frame_id", "col").orderBy("row"))
     edge = (F.col("row") == 7) | F.col("col").isin(0, 7) | (F.coalesce(F.col("below"), F.lit(1)) == 0)
     return m.withColumn("below", below).filter("gray > 0").groupBy("frame_id").agg(F.bool_or(edge).alias("out_range"), F.count(F.lit(1)).alias("pixels"))
+
+
+def _rasters(spark, sf_dir):
+    """The label images as one binary row a frame."""
+    px = F.array_sort(F.collect_list(F.struct("row", "col", "gray")))
+    whole = mask(spark, sf_dir).groupBy("frame_id").agg(px.alias("p"))
+    data = F.unhex(F.array_join(F.transform("p", lambda x: F.lpad(F.hex(x.gray), 2, "0")), ""))
+    return whole.select("frame_id", F.lit(8).alias("height"), F.lit(8).alias("width"), data.alias("data"))
+
+
+@query()
+def instance_extraction(spark, sf_dir):
+    """Frames to instances in metres, with thresholds for images this small."""
+    cfg = PipelineConfig(min_patch_size=4)
+    cam = CameraConfig(height=8, width=8, resolution=0.5, h=HEIGHT_M, intrinsics=PINHOLE)
+    body = extract.to_body(extract.extract(_rasters(spark, sf_dir), cfg, cam), cfg, cam)
+    return body.select("frame_id", "k", "road_class", "pixels", "out_range", "line_valid", "valid_add_to_map", F.size("line").alias("n_line"), F.size("corners").alias("n_corners"), F.round("percept_distance", 4).alias("percept_distance"))
+
+
+@query(f"select frame_id, count(*) as n from ({MASK}) where gray > 0 group by 1")
+def raster_pixels(spark, sf_dir):
+    """Binary rasters and back to rows."""
+    return raster.pixels_of(_rasters(spark, sf_dir)).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
