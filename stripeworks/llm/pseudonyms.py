@@ -223,14 +223,14 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
     "ssn": (r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", _ssn),
     "phone": (r"(?:(?<![\d+])\+?1[ .\-]?)?(?:\(\d{3}\) ?|(?<![\d.\-])\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)", _phone),
     "abroad": (r"(?<![\d+])\+[1-9](?:[ .\-]?\(?\d\)?){8,14}(?!\d)", _abroad),
-    "card": (r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)", _card),
+    "card": (r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)", _card),
 }
 
 
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()))
 _EACH = {k: re.compile(p) for k, (p, _) in KINDS.items()}
 #: A text without any of these has nothing to find.
-HINT = re.compile(r"[0-9@=:]")
+HINT = re.compile(r"[0-9@=:]|A[KS]IA")
 
 
 def rewrite(text: str | None, key: bytes = KEY, inverse: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
