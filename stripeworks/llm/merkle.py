@@ -1,8 +1,9 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and phrases.
 
 A text is cut into sections (at blank lines), paragraphs (at line ends) and
-phrases (after words whose last character is one of ``ENDS``, so that cuts
-depend on the words nearby and move with them).  Written out, a fingerprint is
+phrases (where ``CUT`` says: after words by their last character, so that cuts
+depend on the words nearby and move with them; after any word that ends in a
+sign, a digit, a capital or a letter beyond a to z; after full-width stops).  Written out, a fingerprint is
 
     root section:paragraph=phrase,phrase|paragraph=...;section:...
 
@@ -19,7 +20,7 @@ from pyspark.sql.window import Window
 
 from .common import let
 
-ENDS = "[.!?,;:esd]"
+CUT = "([^acf-rt-z] |[。！？、，；：])"
 MARK = "\x1f"
 #: Ranges of ids for each shuffle partition, and at most in all: one window holds one range.
 RANGES_EACH, MOST_RANGES = 4, 1024
@@ -28,7 +29,7 @@ RANGES_EACH, MOST_RANGES = 4, 1024
 def fingerprint(text: Column) -> Column:
     """The written tree of a text; null is the empty text."""
     def phrases(p: Column) -> Column:
-        marked = F.regexp_replace(p, f"({ENDS}) ", f"$1 {MARK}")
+        marked = F.regexp_replace(p, CUT, f"$1{MARK}")
         return F.array_join(F.transform(F.split(marked, MARK), lambda x: F.substring(F.md5(x), 1, 6)), ",")
 
     def section(s: Column) -> Column:

@@ -67,7 +67,7 @@ from k
 
 
 def fingerprints() -> str:
-    cut = f"regexp_replace(p, '({merkle.ENDS}) ', '\\1 ' || chr(31), 'g')"
+    cut = f"regexp_replace(p, '{merkle.CUT}', '\\1' || chr(31), 'g')"
     hashes = "list_transform(a, lambda x: x.h)"
     phrases = "list_distinct(list_filter(string_split_regex({}, '[ :=,|;]'), lambda x: length(x) = 6))"
     near = "round(case when a.fp[1:32] = {0}.fp[1:32] then 1.0 else len(list_intersect(a.ph, {0}.ph)) * 2 / (len(a.ph) + len({0}.ph)) end, 6)::double"

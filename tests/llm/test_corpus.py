@@ -193,7 +193,7 @@ def _merkle(t):
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     secs = []
     for s in (t or "").split("\n\n"):
-        pars = [(md5(p), ",".join(md5(x)[:6] for x in re.sub("([.!?,;:esd]) ", "\\1 \x1f", p).split("\x1f"))) for p in s.split("\n")]
+        pars = [(md5(p), ",".join(md5(x)[:6] for x in re.sub("([^acf-rt-z] |[。！？、，；：])", "\\1\x1f", p).split("\x1f"))) for p in s.split("\n")]
         secs.append((md5("".join(h for h, _ in pars)), "|".join(f"{h[:12]}={b}" for h, b in pars)))
     return hashlib.sha256("".join(h for h, _ in secs).encode()).hexdigest()[:32] + " " + ";".join(f"{h[:16]}:{b}" for h, b in secs)
 
