@@ -22,6 +22,11 @@ px as (select m.frame_id, m.row, m.col, m.gray, lab.component from m join lab us
 CLASS_SQL = "(case gray when 2 then 1 when 3 then 2 when 4 then 3 when 5 then 4 else case when gray > 0 then 0 else -1 end end)::int"
 
 
+def _exact(a: str, b: str) -> str:
+    """A population covariance from whole numbers."""
+    return f"((count(*)*sum({a}*{b}) - sum({a})*sum({b}))::double / (count(*)*count(*)))"
+
+
 def _components(spark, sf_dir):
     return raster.components(mask(spark, sf_dir).filter("gray > 0"))
 
@@ -49,14 +54,14 @@ def component_majority(spark, sf_dir):
     return aggregates.majority_class(px, ["frame_id", "component"])
 
 
-@query(f"{LABELLED} select frame_id, component, {d6('var_pop(row)', 'var_row')}, {d6('var_pop(col)', 'var_col')}, {d6('covar_pop(row, col)', 'cov')} from px group by 1, 2")
+@query(f"{LABELLED} select frame_id, component, {d6(_exact('row', 'row'), 'var_row')}, {d6(_exact('col', 'col'), 'var_col')}, {d6(_exact('row', 'col'), 'cov')} from px group by 1, 2")
 def component_moments(spark, sf_dir):
     s = aggregates.component_stats(_components(spark, sf_dir), ["frame_id", "component"])
     return s.select("frame_id", "component", r6("var_row").alias("var_row"), r6("var_col").alias("var_col"), r6("cov").alias("cov"))
 
 
 @query(
-    f"""{LABELLED}, s as (select frame_id, component, round(var_pop(row), 9) as vr, round(var_pop(col), 9) as vc, round(covar_pop(row, col), 9) as c from px group by 1, 2 having count(*) >= 4),
+    f"""{LABELLED}, s as (select frame_id, component, round({_exact('row', 'row')}, 9) as vr, round({_exact('col', 'col')}, 9) as vc, round({_exact('row', 'col')}, 9) as c from px group by 1, 2 having count(*) >= 4),
 a as (select *, (vr + vc) / 2 as mid, sqrt(((vc - vr) / 2) * ((vc - vr) / 2) + c * c) as half, atan2(2 * c, vc - vr) / 2 as ang from s)
 select frame_id, component, round(sqrt(mid + half), 5) + 0.0::DOUBLE as major, round(sqrt(greatest(mid - half, 0.0)), 5) + 0.0::DOUBLE as minor,
 round(cos(ang) * case when sin(ang) < 0 then -1 else 1 end, 5) + 0.0::DOUBLE as du, round(sin(ang) * case when sin(ang) < 0 then -1 else 1 end, 5) + 0.0::DOUBLE as dv from a"""
