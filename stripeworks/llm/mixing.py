@@ -60,7 +60,7 @@ def copies(rank: Column, rate: Column, offset: Column | float) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """``docs`` plus ``size``, ``source_size``, ``target`` and ``copies``; expand with ``emit``.
+    """Of each row of ``docs``: ``__id, __src, __th`` (hash of the text), ``size, source_size, target, copies`` and its ``__rank``; ``emit`` applies it.
 
     Sizes are words; a null text has none.  A document without words costs
     nothing and is sampled at its source's rate; in a source without any
@@ -68,10 +68,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     seeded offsets a source uses the one that comes nearest its target; the
     choice depends on the rows and the seed alone, so reruns agree.  Rows
     with equal size and id are laid out side by side in any order.
-    Columns of these names in ``docs`` are replaced.
+    Other columns of ``docs`` are not read.
     """
-    own = docs.drop("size", "source_size", "target", "copies").withColumn("__size", n_words_of(F.col(text))).withColumn("__bin", size_bin(F.col("__size")))
-    totals = docs.select(F.col(source).alias("s"), n_words_of(F.col(text)).alias("n")).groupBy("s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    # Texts are read once, for their sizes; ranks need no more.
+    own = docs.select(F.col(id_col).alias("__id"), F.col(source).alias("__src"), n_words_of(F.col(text)).alias("__size"), F.xxhash64(F.col(text)).alias("__th"))
+    narrow = cut(own.withColumn("__bin", size_bin(F.col("__size"))), "mix-sizes")
+    totals = narrow.groupBy(F.col("__src").alias("s")).agg(F.sum("__size").alias("n"), F.count(F.lit(1)).alias("rows"))
     listed = [(r.s, r.n, r.rows) for r in totals.limit(MOST_SOURCES + 1).collect()]
     if len(listed) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources: weights are set source by source; group them first")
@@ -80,8 +82,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     plan = spark.createDataFrame(
         [(s, n, float(goal[s]), goal[s] / n if n else 0.0) for s, n, _ in listed], f"s {docs.schema[source].dataType.simpleString()}, source_size long, target double, rate double"
     )
-    # Ranks need ids and sizes only; the text stays where it is until the last join.
-    narrow = own.select(F.col(id_col).alias("__id"), F.col(source).alias("__src"), "__size", "__bin", F.xxhash64(F.col(text)).alias("__th"))
     cell = F.coalesce(F.pmod(F.col("__id"), F.lit(CELLS)), F.lit(CELLS))
     binned = narrow.groupBy("__src", "__bin").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(_upto("__src", "__bin")), F.lit(0)).alias("__base")
