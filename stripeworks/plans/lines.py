@@ -90,8 +90,6 @@ def rotated_extents(spark, sf_dir):
     return r.groupBy("line_id").agg(r6(F.min("a")).alias("low"), r6(F.max("a")).alias("high"), r6(F.min("b")).alias("left_off"), r6(F.max("b")).alias("right_off"))
 
 
-_ARC = f"select line_id, cos(vtx * 0.3) * (5 + line_id % 7) + line_id % 11 as x, sin(vtx * 0.3) * (5 + line_id % 7) - line_id % 13 as y from ({VTX})"
-
 
 @query(f"select distinct line_id, round((line_id % 11)::double, 4) + 0.0 as cx, round(-(line_id % 13)::double, 4) + 0.0 as cy, round((5 + line_id % 7)::double, 4) as radius from ({VTX})")
 def circle_fit(spark, sf_dir):

@@ -214,7 +214,6 @@ def merge_maps(spark, sf_dir):
     return m.select("id", r6("x").alias("x"), r6("y").alias("y"))
 
 
-_RING = "[(-1,-1),(-1,1),(1,1),(1,-1),(-1,-1)]"
 _PRIM = f"""select id, road_class, edge, sigma0, a[1] as a0, a[2] as a1, b[1] as b0, b[2] as b1, x, y, h, w, cos(radians(yaw_deg)) as c, sin(radians(yaw_deg)) as s from (
 select *, unnest([0,1,2,3]) as edge, unnest([[-1,-1],[-1,1],[1,1],[1,-1]]) as a, unnest([[-1,1],[1,1],[1,-1],[-1,-1]]) as b from ({INST}))"""
 

@@ -259,7 +259,6 @@ def window_cap(spark, sf_dir):
     return windows.newest(frame(spark, sf_dir, "pose"), ["seq_id"], order, 5).select("seq_id", "pose_id")
 
 
-_STEP = "((k.x - {0}.x)*(k.x - {0}.x) + (k.y - {0}.y)*(k.y - {0}.y))"
 _KEYED = f"select seq_id, pose_id, x, y, row_number() over (partition by seq_id order by t_us, pose_id) as rn, count(*) over (partition by seq_id) as n from ({POSE})"
 
 
@@ -296,8 +295,6 @@ def sample_thin(spark, sf_dir):
     return lines.select("line_id", F.explode(windows.thin(F.col("p"), 3.0)).alias("p")).select("line_id", "p.vtx")
 
 
-_G = "t % 37"
-
 
 @query(f"""select g, {d6('avg(x0)', 'mx')}, {d6('avg(y0)', 'my')}, count(*) as n from (select t % 37 as g, X0 as x0, Y0 as y0 from ({GT})) group by g""")
 def position_means(spark, sf_dir):

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geodesy, linear, rotation
 
@@ -81,7 +80,6 @@ def global_trajectory_from(lines: DataFrame, traj_id: str = "global", ref: tuple
     d = _last_of_time(columns(lines, POSES))
     here = linear.literal(ref)
     d = d.withColumn("__lat", geodesy.geodetic_latitude(F.col("x"), F.col("y"), F.col("z"))).withColumn("__lon", F.atan2("y", "x"))
-    d = d.withColumn("__b", F.lit(geodesy.E2))
     r0 = geodesy.enu_rotation_at(tuple(here))
     d = d.withColumn("__r0", F.array(*r0)).withColumn("__r1", F.array(*geodesy.enu_rotation(F.col("__lat"), F.col("__lon"))))
     d = d.withColumn("__q", F.array(*rotation.quaternion_to_matrix(*[F.col(f"q{c}") for c in "wxyz"])))
