@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, UPPER, let
+from .common import SPACE, UPPER, cut, let
 
 
 def line_key(line: Column) -> Column:
@@ -55,7 +55,8 @@ def drop_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     positions; null ids are an id like any other.  Input columns named
     ``n_lines`` or ``n_dropped`` are replaced; all others pass through.
     """
-    found = frequent_lines(docs, text, min_docs, min_chars)
+    # Stored, so that the join below stands on its own: the side of a line that a third of the documents share can then be split.
+    found = cut(frequent_lines(docs, text, min_docs, min_chars), "frequent-lines")
     marked = F.col(id_col).alias("__id"), F.xxhash64(F.col(text)).alias("__th")
     places = (
         docs.select(*marked, F.posexplode(_hashes(F.col(text), min_chars)).alias("__pos", "__k"))
