@@ -106,7 +106,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", page_id:
     Repeated rows are judged alike and stay; a null url has an empty host,
     which is a host like any other; only the columns named are read.
     """
-    known = reputation(pages, outcomes, url, page_id).select(F.col("host").alias("__host"), "rate", "bound")
+    # Stored, so that the join below stands on its own: the pages of a host that has a third of them can then be split.
+    known = cut(reputation(pages, outcomes, url, page_id).select(F.col("host").alias("__host"), "rate", "bound"), "reputation")
     own = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     which, said = rule_for(F.col("host"), F.col("path"), rules)
     fallback = F.when(F.col("bound") >= min_good, F.lit("allow")).otherwise(F.lit("block"))
