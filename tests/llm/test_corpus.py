@@ -338,3 +338,13 @@ def test_stages_keep_the_columns(spark, docs, none):
             assert d.columns == docs.columns
             d.collect()
 
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    long = " ".join(f"word{i}" for i in range(300))
+    rows = [(4, long, "en", "a", 1), (4, long, "en", "b", 1), (2, long + " end", "en", "a", 1), (9, "something else altogether here", "en", None, 1), (9, "something else altogether here", "en", None, 1), (None, "no id", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    near = simhash.near_duplicates(docs).collect()
+    assert {r.component_id for r in near if r.doc_id in (2, 4)} == {2}
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [2, 9] and kept[0].asDict().keys() == set(docs.columns)
