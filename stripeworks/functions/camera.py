@@ -176,6 +176,16 @@ def lift(u: Column, v: Column, p: dict) -> Vec:
     return _model(p)[1](u, v, p)
 
 
+def virtual_pinhole(spark, p: dict) -> dict:
+    """Pinhole intrinsics that span the view of any model: through the rays of two opposite image corners."""
+    w, h = p["image_width"], p["image_height"]
+    rays = [lift(F.lit(float(u)), F.lit(float(v)), p) for u, v in ((0, 0), (w - 1, h - 1))]
+    (x0, y0), (x1, y1) = [(r[0] / r[2], r[1] / r[2]) for r in rays]
+    r = spark.range(1).select(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).first()
+    fx, fy = (w - 1) / (r.x1 - r.x0), (h - 1) / (r.y1 - r.y0)
+    return {"fx": fx, "fy": fy, "cx": -fx * r.x0, "cy": -fy * r.y0}
+
+
 def reprojection_distance(v: Vec, u: Column, w: Column, p: dict) -> Column:
     a, b = project(v, p)
     return F.sqrt((a - u) * (a - u) + (b - w) * (b - w))

@@ -72,6 +72,12 @@ def enu_to_xyz(enu: Vec, ref: Vec, rotation: Mat) -> Vec:
     return tuple(r + x for r, x in zip(ref, d))
 
 
+def rereference(enu: Vec, ref0: Vec, rotation0: Mat, ref1: Vec, rotation1: Mat) -> Vec:
+    """A local position about one origin, taken to the local frame of another."""
+    d = apply(transpose(rotation0), enu)
+    return apply(rotation1, tuple(v + (a - b) for v, a, b in zip(d, ref0, ref1)))
+
+
 def xyz_to_neu(xyz: Vec, ref: Vec, rotation: Mat) -> Vec:
     e, n, u = xyz_to_enu(xyz, ref, rotation)
     return n, e, u

@@ -110,6 +110,15 @@ def raster_line(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n.cast("int")), lambda i: F.struct(at(x0, x1, i).alias("x"), at(y0, y1, i).alias("y")))
 
 
+def raster_circle(cx: Column, cy: Column, radius: Column) -> Column:
+    """Array of the distinct grid cells (x, y) of a circle of whole radius: one per step along both axes, each side."""
+    steps = F.sequence(-radius, radius)
+    rise = lambda i: F.floor(F.sqrt((radius * radius - i * i).cast("double")) + 0.5).cast("int")
+    cell = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    four = F.transform(steps, lambda i: F.array(cell(cx + i, cy + rise(i)), cell(cx + i, cy - rise(i)), cell(cx + rise(i), cy + i), cell(cx - rise(i), cy + i)))
+    return F.array_distinct(F.flatten(four))
+
+
 def depth_colour(depth: Column, low: float, high: float) -> Column:
     """Position 0..127 on a colour ramp, near first."""
     return F.floor(clamp((depth - low) / (high - low), 0.0, 1.0) * 127).cast("int")

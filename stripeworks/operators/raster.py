@@ -106,6 +106,17 @@ def warp(image: np.ndarray, transform: np.ndarray, height: int, width: int) -> n
         return gather(image, x / w, y / w)
 
 
+def ground_mask(k: np.ndarray, r: np.ndarray, d: float, cam: CameraConfig, height: int, width: int) -> np.ndarray:
+    """The part of a camera image that shows the far half of the bird's-eye raster: inside the polygon of its corners."""
+    corners = np.array([(0, 0), (cam.width - 1, 0), (cam.width - 1, cam.height // 2), (0, cam.height // 2)], float)
+    ground = np.column_stack(((corners[:, 0] - cam.width // 2) * cam.resolution, np.full(4, d), (cam.height - corners[:, 1] - 1) * cam.resolution))
+    q = ground @ (k @ r).T
+    q = q[:, :2] / q[:, 2:]
+    u, v = np.meshgrid(np.arange(width, dtype=float), np.arange(height, dtype=float))
+    side = [(b[0] - a[0]) * (v - a[1]) - (b[1] - a[1]) * (u - a[0]) for a, b in zip(q, np.roll(q, -1, axis=0))]
+    return np.all([s >= 0 for s in side], axis=0) | np.all([s <= 0 for s in side], axis=0)
+
+
 def undistort_map(height: int, width: int, p: dict) -> tuple[np.ndarray, np.ndarray]:
     """Where each pixel of the undistorted pinhole image lies in the raw one."""
     u, v = np.meshgrid(np.arange(width, dtype=float), np.arange(height, dtype=float))

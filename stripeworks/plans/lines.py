@@ -123,3 +123,13 @@ def circle_crossings(spark, sf_dir):
     s = frame(spark, sf_dir, "line_vtx").select("line_id").distinct().selectExpr("line_id", "cast(line_id % 7 as double) as x1", "cast(line_id % 5 as double) as y1", "3.0D + line_id % 3 as r1")
     s = s.withColumn("p", markings.circle_intersections(F.lit(0.0), F.lit(0.0), F.lit(4.0), F.col("x1"), F.col("y1"), F.col("r1")))
     return s.select("line_id", F.size("p").alias("n"), r6(F.when(F.size("p") == 2, F.try_element_at("p", F.lit(1))["x"])).alias("px"))
+
+
+@query(
+    f"""with c as (select line_id, (line_id % 7)::int as cx, (line_id % 5)::int as cy, (1 + line_id % 6)::int as r from (select distinct line_id from ({VTX}))),
+s as (select *, floor(sqrt((r*r - i*i)::double) + 0.5)::int as h from (select *, unnest(range(-r, r + 1))::int as i from c))
+select distinct line_id, x, y from (select line_id, cx + i as x, cy + h as y from s union all select line_id, cx + i, cy - h from s union all select line_id, cx + h, cy + i from s union all select line_id, cx - h, cy + i from s)"""
+)
+def raster_circles(spark, sf_dir):
+    s = frame(spark, sf_dir, "line_vtx").select("line_id").distinct().selectExpr("line_id", "cast(line_id % 7 as int) as cx", "cast(line_id % 5 as int) as cy", "cast(1 + line_id % 6 as int) as r")
+    return s.select("line_id", F.explode(markings.raster_circle(F.col("cx"), F.col("cy"), F.col("r"))).alias("c")).select("line_id", "c.x", "c.y")

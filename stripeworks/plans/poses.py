@@ -151,8 +151,8 @@ def pose_rereference(spark, sf_dir):
     """Local positions about one origin, taken to another."""
     enu = geodesy.xyz_to_enu((F.col("X0"), F.col("Y0"), F.col("Z0")), linear.literal(REF), linear.literal(_R0))
     g = frame(spark, sf_dir, "gt").select("t", *[v.alias(c) for v, c in zip(enu, "enu")])
-    shift = tuple(v + (a - b) for v, a, b in zip(linear.apply(linear.transpose(linear.literal(_R0)), (F.col("e"), F.col("n"), F.col("u"))), REF, REF2))
-    return g.select("t", *[r6(v).alias(c) for v, c in zip(linear.apply(linear.literal(_R1), shift), "enu")])
+    there = geodesy.rereference((F.col("e"), F.col("n"), F.col("u")), REF, linear.literal(_R0), REF2, linear.literal(_R1))
+    return g.select("t", *[r6(v).alias(c) for v, c in zip(there, "enu")])
 
 
 _LAT = latitude_sql(f"select t, X0 as x, Y0 as y, Z0 as z from ({GT})")

@@ -121,3 +121,12 @@ def test_warp_puts_ground_points_where_geometry_says():
     image[int(np.floor(500 * 1.5 / z + 240 + 0.5)), int(np.floor(500 * x / z + 320 + 0.5))] = 200
     out = raster.warp(image, t, 80, 40)
     assert out[v, u] == 200 and out.shape == (80, 40)
+
+
+def test_ground_mask_holds_the_far_ground_only():
+    cam = CameraConfig(height=80, width=40, resolution=0.25)
+    k = np.array([[500.0, 0, 320], [0, 500.0, 240], [0, 0, 1]])
+    m = raster.ground_mask(k, np.eye(3), 1.5, cam, 480, 640)
+    far, near = 500 * 1.5 / (79 * 0.25) + 240, 500 * 1.5 / (39 * 0.25) + 240
+    rows = np.flatnonzero(m.any(1))
+    assert rows.min() == int(np.ceil(far)) and rows.max() == int(np.floor(near)) and m[300, 320] and not m[400, 320]

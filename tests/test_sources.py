@@ -151,3 +151,9 @@ def test_scaramuzza_lift_is_a_ray(spark):
     x, y, z = camera.lift(F.lit(530.0), F.lit(440.0), m)
     r = spark.range(1).select(x.alias("x"), y.alias("y"), z.alias("z")).first()
     assert (r.x, r.y) == (30.0, 40.0) and r.z == pytest.approx(250 - 1.2e-3 * 2500)
+
+
+def test_virtual_pinhole_of_a_pinhole_is_itself(spark):
+    p = {"model_type": "pinhole", "image_width": 101, "image_height": 81, "fx": 100.0, "fy": 90.0, "cx": 49.0, "cy": 41.0, "k1": 0.0, "k2": 0.0, "p1": 0.0, "p2": 0.0}
+    v = camera.virtual_pinhole(spark, p)
+    assert all(v[k] == pytest.approx(p[k]) for k in ("fx", "fy", "cx", "cy"))
