@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..storage import cut, discard
 
-__all__ = ["CELLS", "GAP", "SPACE", "UPPER", "WORD", "cut", "discard", "let", "map_texts", "n_words_of", "with_rank", "words_of"]
+__all__ = ["CELLS", "GAP", "SPACE", "UPPER", "WORD", "cut", "discard", "give_back", "let", "map_texts", "n_words_of", "with_rank", "words_of"]
 
 #: The white space of all contracts: space and the five controls from tab to carriage return.
 SPACE = " \t\n\x0b\f\r"
@@ -40,14 +42,45 @@ def n_words_of(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, GAP))).cast("long")
 
 
+#: Rows of a batch that are Python objects at a time.
+SLICE = 512
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task should be small."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not a GNU system
+
+
 def map_texts(docs: DataFrame, id_col: str, text: str, work: Callable, fields: str) -> DataFrame:
-    """``work`` over pandas batches of ``doc_id`` and ``t``, giving ``doc_id`` and ``fields``.
+    """``work`` over pandas frames of ``doc_id`` and ``t``, giving ``doc_id`` and ``fields``.
 
-    Ids travel as text, as pandas has no exact integers beside nulls.
+    Ids travel as text, as pandas has no exact integers beside nulls.  Batches
+    stay in Arrow and become objects a slice at a time.
     """
     kind = docs.schema[id_col].dataType
-    out = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text).alias("t")).mapInPandas(work, f"doc_id string, {fields}")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    out = T._parse_datatype_string(f"doc_id string, {fields}")
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        frames = (b.slice(at, SLICE).to_pandas() for b in batches for at in range(0, b.num_rows, SLICE))
+        for made in work(frames):
+            yield pa.RecordBatch.from_pandas(made, schema=schema, preserve_index=False)
+        give_back()
+
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, out)
+    return rows.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def with_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], cell: Column, into: str) -> DataFrame:

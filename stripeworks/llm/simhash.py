@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import cut, discard, map_texts
+from .common import cut, discard, give_back, map_texts
 
 BITS, SEGMENTS, DISTANCE, SHINGLE, SEED = 64, 5, 2, 3, 42
 #: Allowed differences in the first 1, 2, ... segments of a chain.
@@ -155,6 +155,7 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield links(*[x[:first] for x in now])
     if held is not None:
         yield links(*held)
+    give_back()
 
 
 def links(reps: DataFrame) -> DataFrame:
