@@ -348,3 +348,32 @@ def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
     assert {r.component_id for r in near if r.doc_id in (2, 4)} == {2}
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(r.doc_id for r in kept) == [2, 9] and kept[0].asDict().keys() == set(docs.columns)
+
+
+def _jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("up_to", [2, 64])
+def test_near_duplicate_stage_catches_near_copies(spark, monkeypatch, up_to):
+    """Copies with a few words changed go whatever their fingerprints' distance; pairs under 0.8 stay; in large buckets as in small."""
+    from stripeworks.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "ALL_PAIRS_UP_TO", up_to)
+    rng = random.Random(4)
+    rows = []
+    for g in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for _ in range(4):
+            t = list(base)
+            for at in rng.sample(range(200), rng.choice([1, 2, 3, 9])):
+                t[at] = f"x{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(t)))
+    near = [(i, j) for i, a in rows for j, b in rows if i < j and _jaccard(a, b) >= 0.8]
+    part = _parts(len(rows), near)
+    far = [bin(brute.simhash(rows[i][1]) ^ brute.simhash(rows[j][1])).count("1") for i, j in near]
+    assert max(far) > 2 and 30 < len(set(part)) < len(rows)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == set(part)
