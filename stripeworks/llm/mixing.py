@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from .common import CELLS, cut, n_words_of, with_rank
 
 WEIGHTS, SHARE, MOST_COPIES, SEED, OFFSETS = (5, 2, 1), 1.5, 2, 20_240_613, 64
-#: Sources are one row each in the plan of the mix, which the driver makes.
-MOST_SOURCES = 200_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> dict[str | None, float]:
@@ -42,6 +40,35 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple = WEIGHTS, share
     return out
 
 
+def target_table(totals: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
+    """``targets`` for any number of sources: of ``totals`` (s, n) gives ``s, source_size, target, rate``.
+
+    Sources are numbered by ranges, each for itself and shifted by the counts
+    before it; of them all, only sums and one count a range come to the driver.
+    """
+    parts = int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = cut(totals, "mix-totals").repartitionByRange(parts, F.col("s").isNull(), F.col("s")).sortWithinPartitions(F.col("s").isNull(), F.col("s"))
+    placed = cut(sorted_.withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r.p: r.n for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    shift = [0]
+    for p in range(max(counts, default=0)):
+        shift.append((shift[-1] + counts.get(p, 0)) % len(weights))
+    turn = (within + F.array(*[F.lit(x) for x in shift])[part.cast("int")]) % len(weights)
+    weighed = placed.select("s", F.col("n"), F.array(*[F.lit(float(w)) for w in weights])[turn.cast("int")].alias("w"))
+    total, heavy = weighed.agg(F.sum("n"), F.sum("w")).first()
+    unit, known = share * (total or 0) / (heavy or 1), 0
+    while True:
+        over = F.col("w") * unit > most * F.col("n")
+        n_over, full, open_ = weighed.agg(F.count(F.when(over, 1)), F.sum(F.when(over, F.col("n"))), F.sum(F.when(~over, F.col("w")))).first()
+        if n_over <= known or not open_:
+            break
+        unit, known = (share * total - most * (full or 0)) / open_, n_over
+    target = F.when(F.col("w") * unit > most * F.col("n"), most * F.col("n")).otherwise(F.col("w") * unit).cast("double")
+    out = weighed.select("s", F.col("n").alias("source_size"), target.alias("target"))
+    return out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+
+
 def size_bin(size: Column) -> Column:
     """Sizes in steps of an eighth at most: 0, 1, ... 15, then eight steps to each power of two; at most some 500 bins."""
     digits = F.length(F.bin(size))
@@ -73,15 +100,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     # Texts are read once, for their sizes; ranks need no more.
     own = docs.select(F.col(id_col).alias("__id"), F.col(source).alias("__src"), n_words_of(F.col(text)).alias("__size"), F.xxhash64(F.col(text)).alias("__th"))
     narrow = cut(own.withColumn("__bin", size_bin(F.col("__size"))), "mix-sizes")
-    totals = narrow.groupBy(F.col("__src").alias("s")).agg(F.sum("__size").alias("n"), F.count(F.lit(1)).alias("rows"))
-    listed = [(r.s, r.n, r.rows) for r in totals.limit(MOST_SOURCES + 1).collect()]
-    if len(listed) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources: weights are set source by source; group them first")
-    goal = targets([(s, n) for s, n, _ in listed], weights, share, most)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(
-        [(s, n, float(goal[s]), goal[s] / n if n else 0.0) for s, n, _ in listed], f"s {docs.schema[source].dataType.simpleString()}, source_size long, target double, rate double"
-    )
+    totals = narrow.groupBy(F.col("__src").alias("s")).agg(F.sum("__size").alias("n"))
+    plan = cut(target_table(totals, weights, share, most), "mix-targets")
     cell = F.coalesce(F.pmod(F.col("__id"), F.lit(CELLS)), F.lit(CELLS))
     binned = narrow.groupBy("__src", "__bin").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(_upto("__src", "__bin")), F.lit(0)).alias("__base")
@@ -91,10 +111,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     ranked = cut(ranked.select("__id", "__src", "__size", "__th", (F.col("__base") + F.col("__in_bin")).alias("__rank"), "source_size", "target", "rate"), "mix-ranks")
     tried = offsets(seed)
     sums = [F.sum(F.col("__size") * copies(F.col("__rank"), F.col("rate"), u)).alias(f"t{k}") for k, u in enumerate(tried)]
-    off = {}
-    for r in ranked.groupBy("__src", "target").agg(*sums).collect():
-        off[r["__src"]] = tried[min(range(len(tried)), key=lambda k: abs(r[f"t{k}"] - r["target"]))]
-    drawn = spark.createDataFrame(list(off.items()), f"s {docs.schema[source].dataType.simpleString()}, offset double")
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), F.lit(u).alias("u")) for k, u in enumerate(tried)]))
+    drawn = cut(ranked.groupBy("__src", "target").agg(*sums).select(F.col("__src").alias("s"), nearest["u"].alias("offset")), "mix-offsets")
     out = ranked.join(drawn, ranked["__src"].eqNullSafe(drawn["s"])).withColumn("copies", copies(F.col("__rank"), F.col("rate"), F.col("offset")).cast("long"))
     return out.select(F.col("__id"), F.col("__src"), F.col("__size").alias("size"), "source_size", "target", "copies", "__th", "__rank")
 

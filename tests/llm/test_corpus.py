@@ -377,3 +377,11 @@ def test_near_duplicate_stage_catches_near_copies(spark, monkeypatch, up_to):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == set(part)
+
+
+def test_mixing_takes_any_number_of_sources(spark):
+    n = 200_010
+    docs = spark.range(n).selectExpr("id as doc_id", "repeat('w ', cast(id % 7 as int)) as text", "if(id = 5, null, concat('s', id)) as source")
+    goal = mixing.targets([(None if i == 5 else f"s{i}", i % 7) for i in range(n)])
+    got = mixing.mix(docs).select("__src", "target").collect()
+    assert len(got) == n and all(r.target == pytest.approx(goal[r["__src"]]) for r in got)
