@@ -257,11 +257,13 @@ def nearest_neighbours(spark, sf_dir):
     return k.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("id", "b_id", "rank")
 
 
+WINDOW_POSES = 8
+
+
 @query()
 def localize_window(spark, sf_dir):
-    """Per sequence: the first poses displaced, their odometry exact, and lines of the map to pull them back."""
-    def solve(g: Group) -> Group:
-        g = {k: v[:8] for k, v in g.items()}
+    """Every pose of each sequence displaced, in consecutive windows: their odometry exact, and lines of the map to pull them back."""
+    def window(g: Group) -> np.ndarray:
         true_r = [kernels.rotation_of(np.array([0, 0, np.radians(a)])) for a in g["yaw_deg"]]
         true_t = list(np.column_stack((g["x"], g["y"], g["z"])) / 10)
         off = np.array([0.3, -0.2, 0.05])
@@ -272,8 +274,11 @@ def localize_window(spark, sf_dir):
                 q = r @ np.array(p) + t
                 w.lines.append((i, np.array(p), q, q + r @ np.array(along, float), 0.1))
         kernels.solve_window(w)
-        err = [np.linalg.norm(a - b) for a, b in zip(w.t, true_t)]
-        return {"seq_id": g["seq_id"], "pose_id": g["pose_id"], "error": np.round(err, 4)}
+        return np.array([np.linalg.norm(a - b) for a, b in zip(w.t, true_t)])
+
+    def solve(g: Group) -> Group:
+        err = [window({k: v[at : at + WINDOW_POSES] for k, v in g.items()}) for at in range(0, len(g["pose_id"]), WINDOW_POSES)]
+        return {"seq_id": g["seq_id"], "pose_id": g["pose_id"], "error": np.round(np.concatenate(err), 4)}
 
     return by_group(frame(spark, sf_dir, "pose"), ["seq_id"], ["t_us", "pose_id"], solve, "seq_id long, pose_id long, error double")
 

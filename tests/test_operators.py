@@ -156,3 +156,12 @@ def test_groups_that_span_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert {r.k: (r.n, r.s) for r in got} == want and len(got) == len(want)
+
+
+def test_localize_window_solves_every_pose(spark, sf_dir):
+    import __spark_entry__ as e
+
+    got = e.queries()["localize_window"](spark, sf_dir).collect()
+    ids = [r.event_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect()]
+    assert sorted(r.pose_id for r in got) == sorted(ids)
+    assert max(r.error for r in got) < 0.01
