@@ -54,10 +54,21 @@ def permute(x: int, n: int, key: bytes, tweak: bytes, inverse: bool = False) ->
 
 _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _SET_OF = {c: s for s in _SETS for c in s}
+#: Longer values are moved in pieces of this many characters, as the numbers behind them get slow.
+PIECE = 200
 
 
 def _spell(text: str, sets: list[str], kind: str, key: bytes, inverse: bool) -> str:
-    """``text`` with each character moved within its set, all of them together."""
+    """``text`` with each character moved within its set: all together, or piece by piece, each keyed by the pseudonym of the piece before it."""
+    if len(text) > PIECE:
+        out, before = [], ""
+        for at in range(0, len(text), PIECE):
+            own = text[at : at + PIECE]
+            tag = f"{kind}:{hashlib.blake2b(before.encode(), digest_size=8).hexdigest()}" if at else kind
+            out.append(_spell(own, sets[at : at + PIECE], tag, key, inverse))
+            before += own if inverse else out[-1]
+            before = hashlib.blake2b(before.encode(), digest_size=16).hexdigest()
+        return "".join(out)
     x, n = 0, 1
     for c, s in zip(text, sets):
         x = x * len(s) + s.index(c)
@@ -213,10 +224,10 @@ def _secret(m: str, key: bytes, inverse: bool) -> str | None:
 
 #: Kinds in the order in which they are tried at a place: pattern, and what it becomes (None: not valid, left alone).
 KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
-    "secret": (r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[A-Za-z0-9_+/\-]{8,200}", _secret),
+    "secret": (r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[A-Za-z0-9_+/\-]{8,}", _secret),
     "email": (r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}", _email),
     "key_id": (r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])", _key_id),
-    "hex": (r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])", _hex),
+    "hex": (r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])", _hex),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _iban),
     "ipv4": (r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)", _ipv4),
     "date": (r"(?<![\d./\-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/\-])", _date),

@@ -181,3 +181,26 @@ def test_line_hash(spark):
     df = spark.createDataFrame([(1, "A\nb")], "doc_id long, text string")
     r = line_dedup.drop_frequent_lines(df).select(F.sha2("text", 256).alias("h")).first()
     assert r.h == hashlib.sha256(b"A\nb").hexdigest()
+
+
+def test_long_values_are_moved_whole():
+    body = "".join("aZ7kQ0xB"[(i * 5) % 8] for i in range(1000))
+    for head, value in (("token=", body), ("", "0123456789abcdef" * 30), ("", "A1" * 80)):
+        text = f"see {head}{value} end"
+        new, spans = pseudonyms.rewrite(text)
+        assert spans == [("secret" if head else "hex", 4, len(head) + len(value))]
+        moved = new[4 + len(head) : -4]
+        assert len(moved) == len(value) and all(moved[at : at + 40] != value[at : at + 40] for at in range(0, len(value), 40))
+        assert pseudonyms.rewrite(new, inverse=True)[0] == text
+
+
+def test_long_texts_are_judged_by_their_ratios(spark):
+    import random
+
+    rng = random.Random(8)
+    words = ["the", "of", "and", "to"] + ["".join(rng.choice("abdeghilmnoprst") for _ in range(5)) for _ in range(3000)]
+    text = "\n".join(" ".join(rng.choice(words) for _ in range(12)) + " the" for _ in range(16_000))
+    docs = spark.createDataFrame([(1, text), (2, "buy now " * 110_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).select("doc_id", "n_words", "kept").collect()}
+    assert got[1].n_words > 200_000 and got[1].kept
+    assert got[2].n_words > 200_000 and not got[2].kept
