@@ -38,7 +38,6 @@ class Rule:
 #: Ratios are per word (symbols, shouts, stop words) or per line.
 RULES = (
     Rule("n_words", low=20),
-    Rule("n_words", high=200_000),
     Rule("repeat_ratio", high=0.30),
     Rule("symbol_ratio", high=0.10),
     Rule("mean_word_length", low=2.0, high=14.0),
