@@ -17,15 +17,19 @@ def matches(points: DataFrame, poses: DataFrame, lines: DataFrame, max_distance:
     """Body points (traj_id, frame_id, pid, road_class, x, y, z) with the nearest segment of the map lines of their class.
 
     Map lines are segments (road_class, seg, ax, ay, az, bx, by, bz).  Cells are as
-    wide as the distance allowed and a segment is filed at its middle, so
-    segments must not be longer than that.
+    wide as the distance allowed and a segment is filed at the middle of each
+    piece of it that is no longer than that, so segments may have any length.
     """
     r = lambda i: F.col("r")[i]
     w = points.join(poses.select("traj_id", "frame_id", "r", "p"), ["traj_id", "frame_id"])
     for k, c in enumerate("xyz"):
         w = w.withColumn(f"w{c}", r(3 * k) * F.col("x") + r(3 * k + 1) * F.col("y") + r(3 * k + 2) * F.col("z") + F.col("p")[k])
     q = w.select("traj_id", "frame_id", "pid", "road_class", F.col("wx").alias("x"), F.col("wy").alias("y"), "wz")
-    mid = lines.select("road_class", F.struct("ax", "ay", "az", "bx", "by", "bz").alias("b_s"), F.col("seg").alias("b_seg"), ((F.col("ax") + F.col("bx")) / 2).alias("b_x"), ((F.col("ay") + F.col("by")) / 2).alias("b_y"))
+    length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
+    pieces = F.greatest(F.lit(1), F.ceil(length / max_distance))
+    filed = lines.withColumn("b_n", pieces).withColumn("b_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b_n").cast("long") - 1)))
+    at = lambda c: (F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * (F.col("b_i") + 0.5) / F.col("b_n")).alias(f"b_{c}")
+    mid = filed.select("road_class", F.struct("ax", "ay", "az", "bx", "by", "bz").alias("b_s"), F.col("seg").alias("b_seg"), at("x"), at("y"))
     pairs = joins.grid_pairs(q, mid, ["road_class"], 2 * max_distance)
     s = lambda c: F.col(f"b_s.{c}")
     ux, uy = s("bx") - s("ax"), s("by") - s("ay")

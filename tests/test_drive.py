@@ -99,3 +99,13 @@ def test_drive_is_put_back_on_the_map(spark):
     err = max(float(np.linalg.norm(np.array(r.p)[:2] - true[r.traj_id, r.frame_id][:2])) for r in out)
     assert err < 1e-4
     assert kernels.log_of(np.array(out[0].r).reshape(3, 3)) == pytest.approx([0, 0, 0], abs=1e-4)
+
+
+def test_points_match_anywhere_on_a_long_segment(spark):
+    lines = spark.createDataFrame([(0, 7, 0.0, 0.0, 0.0, 30.0, 40.0, 0.0)], "road_class int, seg long, ax double, ay double, az double, bx double, by double, bz double")
+    poses = spark.createDataFrame([(1, 0, 0.0, np.eye(3).ravel().tolist(), [0.0, 0.0, 0.0])], localize.POSES)
+    on = [(1, 0, k, 0, 0.6 * k + 0.4, 0.8 * k - 0.3, 0.0) for k in range(1, 50)]
+    off = [(1, 0, 100, 0, 0.6 * 60, 0.8 * 60, 0.0), (1, 0, 101, 0, 20.0, 20.0, 0.0)]
+    points = spark.createDataFrame(on + off, "traj_id long, frame_id long, pid long, road_class int, x double, y double, z double")
+    got = localize.matches(points, poses, lines, 1.0).collect()
+    assert sorted(r.pid for r in got) == list(range(1, 50)) and {(r.s.ax, r.s.bx) for r in got} == {(0.0, 30.0)}
