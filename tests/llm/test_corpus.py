@@ -385,3 +385,15 @@ def test_mixing_takes_any_number_of_sources(spark):
     goal = mixing.targets([(None if i == 5 else f"s{i}", i % 7) for i in range(n)])
     got = mixing.mix(docs).select("__src", "target").collect()
     assert len(got) == n and all(r.target == pytest.approx(goal[r["__src"]]) for r in got)
+
+
+def test_near_duplicate_stage_tells_rows_apart_by_text(spark):
+    """Different texts of one id all stay; a text without an id links those on either side of it."""
+    w = [f"w{i}" for i in range(300)]
+    a, b = w, [f"x{i}" for i in range(25)] + w[25:]
+    c = b[:-25] + [f"y{i}" for i in range(25)]
+    one, other = (" ".join(f"{p}{i}" for i in range(40)) for p in "pq")
+    rows = [(1, one), (1, other), (5, " ".join(a)), (None, " ".join(b)), (6, " ".join(c))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, one), (1, other), (5, " ".join(a))])
