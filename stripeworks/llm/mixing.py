@@ -133,14 +133,13 @@ def emit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
     marked = docs.withColumn("__th0", F.xxhash64(F.col(text)))
     hit = marked[id_col].eqNullSafe(totals["__id"]) & marked[source].eqNullSafe(totals["__src"]) & (marked["__th0"] == totals["__th"])
     joined = marked.join(totals, hit)
-    # Rows that can't be told apart share their copies: the first of them takes what does not divide.
-    same = joined.filter("__same > 1").withColumn("__i", F.row_number().over(_alike()) - 1)
-    each = same.withColumn("__copies", F.expr("__copies div __same + if(__i < __copies % __same, 1, 0)")).drop("__i")
-    every = joined.filter("__same = 1").unionByName(each).filter("__copies > 0")
-    return every.withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _alike():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("__id", "__src", "__th").orderBy("__th0")
+    taken = joined.filter("__same = 1 and __copies > 0")
+    if not totals.filter("__same > 1").isEmpty():
+        # Rows that can't be told apart share their copies: the first of them take what does not divide.
+        same = cut(joined.filter("__same > 1").withColumn("__at", F.monotonically_increasing_id()), "mix-same")
+        keys = ["__id", "__src", "__th"]
+        placed = with_rank(same.select(*keys, "__at"), keys, ["__at"], F.pmod(F.xxhash64("__at"), F.lit(CELLS)), "__i").select(F.col("__at").alias("__at0"), "__i")
+        share = F.expr("__copies div __same + if(__i < __copies % __same, 1, 0)")
+        each = same.join(placed, F.col("__at") == F.col("__at0")).withColumn("__copies", share).filter("__copies > 0")
+        taken = taken.select(*docs.columns, "__copies").unionByName(each.select(*docs.columns, "__copies"))
+    return taken.withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -76,10 +76,15 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
         hashes = np.fromiter((digest(b"%b %b %b" % w, seed) for w in zip(words, words[1:], words[2:])), np.uint64, n)
     else:
         hashes = np.fromiter((digest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), np.uint64, n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; no hashes: zero."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 65_536):
+    for at in range(0, len(hashes), 65_536):
         counts += np.unpackbits(hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

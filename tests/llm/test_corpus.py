@@ -347,7 +347,24 @@ def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
     near = simhash.near_duplicates(docs).collect()
     assert {r.component_id for r in near if r.doc_id in (2, 4)} == {2}
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
-    assert sorted(r.doc_id for r in kept) == [2, 9] and kept[0].asDict().keys() == set(docs.columns)
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 2, 9] and kept[0].asDict().keys() == set(docs.columns)
+
+
+def test_near_duplicate_stage_keeps_groups_without_ids(spark):
+    one, other = (" ".join(f"{p}{i}" for i in range(40)) for p in "pq")
+    rows = [(None, one, None, None, 1), (None, one, "en", None, 1), (None, one + " more", None, "a", 1), (3, other, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 3]
+
+
+def test_emit_splits_equal_rows(spark):
+    """Rows that agree in id, source and text get all their copies between them, none more than one above another."""
+    docs = spark.range(700).selectExpr("cast(null as long) as doc_id", "'some words of one text' as text", "'a' as source", "id as tag")
+    plan = mixing.mix(docs)
+    n = plan.agg(F.sum("copies")).first()[0]
+    got = mixing.emit(docs).groupBy("tag").count().collect()
+    assert sum(r["count"] for r in got) == n and {r["count"] for r in got} <= {1, 2} and len(got) == 700
 
 
 def _jaccard(a, b):
@@ -355,21 +372,21 @@ def _jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-@pytest.mark.parametrize("up_to", [2, 64])
-def test_near_duplicate_stage_catches_near_copies(spark, monkeypatch, up_to):
-    """Copies with a few words changed go whatever their fingerprints' distance; pairs under 0.8 stay; in large buckets as in small."""
-    from stripeworks.llm import near_copies
+def _edited(rng, base, n):
+    t = list(base)
+    for at in rng.sample(range(len(t)), n):
+        t[at] = f"x{rng.randrange(10**6)}"
+    return " ".join(t)
 
-    monkeypatch.setattr(near_copies, "ALL_PAIRS_UP_TO", up_to)
+
+def test_near_duplicate_stage_catches_near_copies(spark):
+    """Copies with a few words changed go whatever their fingerprints' distance; pairs under 0.8 stay."""
     rng = random.Random(4)
     rows = []
     for g in range(30):
         base = [f"w{rng.randrange(5000)}" for _ in range(200)]
         for _ in range(4):
-            t = list(base)
-            for at in rng.sample(range(200), rng.choice([1, 2, 3, 9])):
-                t[at] = f"x{rng.randrange(5000)}"
-            rows.append((len(rows), " ".join(t)))
+            rows.append((len(rows), _edited(rng, base, rng.choice([1, 2, 3, 9]))))
     near = [(i, j) for i, a in rows for j, b in rows if i < j and _jaccard(a, b) >= 0.8]
     part = _parts(len(rows), near)
     far = [bin(brute.simhash(rows[i][1]) ^ brute.simhash(rows[j][1])).count("1") for i, j in near]
@@ -379,6 +396,44 @@ def test_near_duplicate_stage_catches_near_copies(spark, monkeypatch, up_to):
     assert kept == set(part)
 
 
+def test_crowded_buckets(spark, monkeypatch):
+    """An original's many copies go by its star; of texts that only resemble it, near pairs are found by their rarest shingles."""
+    from stripeworks.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "ALL_PAIRS_UP_TO", 8)
+    monkeypatch.setattr(near_copies, "RARE_PAIRS_UP_TO", 8)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(250)]
+    texts = [" ".join(base)] + [_edited(rng, base, 4) for _ in range(60)]
+    for _ in range(30):  # pairs of texts unlike the original and all others
+        t = _edited(rng, base, 11)
+        texts += [t, t + " and more"]
+    texts += [t + " of those" for t in [_edited(rng, base, 12)] * 1] + [_edited(rng, base, 11) + f" end{i}" for i in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.i: r.f for r in near_copies.groups(docs).join(docs.select(F.col("doc_id").alias("i"), near_copies.text_hash().alias("v")), "v").select("i", F.col("first.id").alias("f")).collect()}
+    near = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and _jaccard(a, b) >= 0.8]
+    part = _parts(len(texts), near)
+    assert {part[i] for i in range(61)} == {0} and len(set(part)) > 40
+    assert all(part[i] == part[got[i]] for i in got), "nothing is linked by chance"
+    assert [got[i] for i in range(61)] == [0] * 61
+    assert all(got[61 + 2 * k] == got[62 + 2 * k] for k in range(30))
+
+
+def test_keys_of_near_copies(spark):
+    """Bands meet as often as independent rows would."""
+    from stripeworks.llm import near_copies
+
+    rng = np.random.default_rng(3)
+    met = []
+    for _ in range(300):
+        own = rng.integers(1 << 63, size=200, dtype=np.uint64)
+        other = np.concatenate((own[22:], rng.integers(1 << 63, size=22, dtype=np.uint64)))  # 178 of 222: a similarity of 0.80
+        met.append(sum(a == b for a, b in zip(near_copies.bands(np.sort(own)), near_copies.bands(np.sort(other)))))
+    assert 0.28 < np.mean(met) / near_copies.BANDS < 0.38 and np.mean(np.array(met) == 0) < 0.02
+    assert near_copies.shingles(None).size == 0 and near_copies.shingles("a b").size == 1
+    assert near_copies.shingles("A b c d e f").tolist() == near_copies.shingles("a  b\nc d e F").tolist() and near_copies.shingles("a b c d e f").size == 2
+
+
 def test_mixing_takes_any_number_of_sources(spark):
     n = 200_010
     docs = spark.range(n).selectExpr("id as doc_id", "repeat('w ', cast(id % 7 as int)) as text", "if(id = 5, null, concat('s', id)) as source")
