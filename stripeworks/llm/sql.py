@@ -91,10 +91,14 @@ from g a join g b on a.doc_id = b.doc_id and b.edited join g c on c.doc_id = a.n
 
 def reputation() -> str:
     def weight(source: str, n: str, s: str) -> str:
-        """``source`` has n, s and the parent's rate m."""
-        spread, noise, room = f"sum({n} * ({s}::double / {n} - m) ** 2)", "sum(m * (1 - m))", f"sum(m * (1 - m) * ({n} - 1))"
-        rho = f"case when {room} > 0 then ({spread} - {noise}) / {room} end"
-        return f"(select coalesce(round(least(greatest(case when {rho} > 0 then 1 / ({rho}) - 1 else {hosts.HEAVIEST} end, {hosts.LIGHTEST}), {hosts.HEAVIEST}), 6), {hosts.HEAVIEST}) from {source})"
+        """``source`` has n, s, the parent's rate m, its count pn and its children k."""
+        heavy, light = f"{hosts.HEAVIEST}::double", f"{hosts.LIGHTEST}::double"
+        return f"""(select case when db > 0.5 and dw > 0 then round(least(greatest(case when rho > 0 then 1 / rho - 1 else {heavy} end, {light}), {heavy}), 6) else {light} end
+from (select *, (b / db - w / dw) / nullif(b / db + (t / db - 1) * w / dw, 0) as rho from (
+select sum({n} * ({s}::double / {n} - m) ** 2) as b, sum({s} * (1 - {s}::double / {n})) as w, sum(1 - 1.0::double / k) as db, sum({n} - 1)::double as dw, sum({n} - {n} * {n}::double / pn) as t from {source})))"""
+
+    def level(good: str, n: str, worth: str, above: str, unsure: str, into: str) -> str:
+        return f"*, ({good} + {worth} * {above}) / ({n} + {worth}) as {into}, {into} * (1 - {into}) / ({n} + {worth} + 1) + ({worth} / ({n} + {worth})) ** 2 * {unsure} as {into}_v"
 
     which, said = "null", "null"
     for verdict, h, p in sorted(hosts.RULES, key=lambda r: (len(r[1]) + len(r[2]), r[1] + r[2])):
@@ -111,15 +115,16 @@ shown as (select page_id, host, regexp_extract(path, '/([0-9]{{1,18}})(\\.html)?
 o as (select host, quality = 1 and toxic = 0 as good from shown join labels l on ref <> '' and l.doc_id = try_cast(ref as bigint) where quality is not null and toxic is not null),
 every as (select *, {suffix} as suffix from (select *, {domain} as domain from (select distinct host from p))),
 h as (select host, domain, suffix, count(*) as n, count(*) filter (good) as s from o join every using (host) where good is not null group by all),
-d as (select domain, suffix, sum(n)::bigint as dn, sum(s)::bigint as ds from h group by all),
-x as (select suffix, sum(dn)::bigint as sn, sum(ds)::bigint as ss from d group by all),
-base as (select coalesce(sum(s)::double / nullif(sum(n), 0), {hosts.PRIOR_RATE}) as m from h),
-hm as (select n, s, ds::double / dn as m from h join d using (domain)), dm as (select dn, ds, ss::double / sn as m from d join x using (suffix)), xm as (select sn, ss, m from x, base),
+d as (select domain, suffix, sum(n)::bigint as dn, sum(s)::bigint as ds, count(*) as dk from h group by all),
+x as (select suffix, sum(dn)::bigint as sn, sum(ds)::bigint as ss, count(*) as sk from d group by all),
+base as (select coalesce(sum(ss)::double / nullif(sum(sn), 0), {hosts.PRIOR_RATE}) as m, sum(sn)::bigint as pn, count(*) as k from x),
+hm as (select n, s, ds::double / dn as m, dn as pn, dk as k from h join d using (domain)), dm as (select dn, ds, ss::double / sn as m, sn as pn, sk as k from d join x using (suffix)), xm as (select sn, ss, m, pn, k from x, base),
 k as (select {weight('hm', 'n', 's')} as wh, {weight('dm', 'dn', 'ds')} as wd, {weight('xm', 'sn', 'ss')} as ws, m as base from base),
-u as (select host, coalesce(n, 0) as n, coalesce(s, 0) as s, coalesce(dn, 0) as dn, coalesce(ds, 0) as ds, (coalesce(ss, 0) + ws * base) / (coalesce(sn, 0) + ws) as rs, wh, wd
+u as (select host, coalesce(n, 0) as n, coalesce(s, 0) as s, coalesce(dn, 0) as dn, coalesce(ds, 0) as ds, coalesce(sn, 0) as sn, coalesce(ss, 0) as ss, wh, wd, ws, base
       from every left join (select host, n, s from h) using (host) left join (select domain, dn, ds from d) using (domain) left join x using (suffix), k),
-v as (select host, (s + wh * (ds + wd * rs) / (dn + wd)) / (n + wh) as rate, n + wh as t from u),
-w as (select host, round(rate, 6) as rate, round(rate - {hosts.Z} * sqrt(rate * (1 - rate) / (t + 1)), 6) as bound from v)
+u1 as (select {level('(ss - ds)', '(sn - dn)', 'ws', 'base', '0', 'rs')} from u), u2 as (select {level('(ds - s)', '(dn - n)', 'wd', 'rs', 'rs_v', 'rd')} from u1), u3 as (select {level('s', 'n', 'wh', 'rd', 'rd_v', 'rh')} from u2),
+v as (select host, rh, rh_v, least(greatest(rh, 1e-6::double), 1 - 1e-6::double) as r from u3),
+w as (select host, round(rh, 6) as rate, round(1 / (1 + exp({hosts.Z} * sqrt(rh_v) / (r * (1 - r)) - ln(r / (1 - r)))), 6) as bound from v)
 select p.page_id, p.host, p.path, {which} as rule, coalesce({said}, case when bound >= {hosts.MIN_GOOD} then 'allow' else 'block' end) as verdict, rate, bound
 from p join w using (host)
 """

@@ -272,6 +272,33 @@ def test_reputation_shrinks_towards_the_domain(spark):
     assert verdicts["a.good.net"] == "allow" and verdicts["new.bad.net"] == "block"
 
 
+def _judged(spark, counts):
+    pages, outcomes, n = [], [], 0
+    for host, good, bad in counts:
+        for k in range(max(1, good + bad)):
+            pages.append((n, f"http://{host}/p/{k}"))
+            if good + bad:
+                outcomes.append((n, k < good))
+            n += 1
+    p, o = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, good boolean")
+    return {x.host: x for x in hosts.judge_urls(p, o).select("host", "rate", "bound", "verdict").distinct().collect()}
+
+
+def test_few_labels_give_a_wide_bound(spark):
+    alone = _judged(spark, [(f"h{i}.org{i}.net", 3, 0) if i % 2 else (f"h{i}.org{i}.net", 0, 3) for i in range(40)])
+    assert alone["h1.org1.net"].rate - alone["h1.org1.net"].bound > 0.2, "labels of a domain's only host are not counted again"
+    mixed = _judged(spark, [("few.a.net", 2, 1), ("many.a.net", 200, 100), ("b.a.net", 20, 10), ("c.b.net", 6, 3), ("none.c.net", 0, 0)])
+    gap = {h: r.rate - r.bound for h, r in mixed.items()}
+    assert gap["few.a.net"] > 2 * gap["many.a.net"] and gap["none.c.net"] > gap["few.a.net"]
+    good = _judged(spark, [("many.a.net", 80, 20), ("b.a.net", 78, 22), ("c.b.net", 81, 19), ("none.c.com", 0, 0)])
+    assert good["many.a.net"].verdict == "allow" and good["none.c.com"].verdict == "block" and good["none.c.com"].rate > 0.6, "for lack of evidence alone"
+
+
+def test_reputation_of_no_pages(spark):
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert hosts.judge_urls(pages, spark.createDataFrame([], "page_id long, good boolean")).collect() == []
+
+
 def test_domains(spark):
     df = spark.createDataFrame([(h,) for h in ("a.b.example.com", "shop.co.uk", "x.shop.co.uk", "localhost", "10.0.0.1", "", "com")], "h string")
     d = hosts.registered_domain(F.col("h"))
