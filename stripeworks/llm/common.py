@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..storage import cut, discard
 
-__all__ = ["CELLS", "GAP", "SPACE", "UPPER", "WORD", "cut", "discard", "give_back", "let", "map_texts", "n_words_of", "with_rank", "words_of"]
+__all__ = ["CELLS", "GAP", "SPACE", "UPPER", "WORD", "cut", "discard", "give_back", "let", "map_texts", "n_words_of", "sheltered", "with_rank", "words_of"]
 
 #: The white space of all contracts: space and the five controls from tab to carriage return.
 SPACE = " \t\n\x0b\f\r"
@@ -30,6 +31,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def sheltered(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose own columns (``__...``) can't clash with the input's: those go by other names meanwhile."""
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *how, **named) -> DataFrame:
+        away = {c: f"input {c}" for c in docs.columns if c.startswith("__")}
+        out = operator(docs.withColumnsRenamed(away), *how, **named)
+        return out.withColumnsRenamed({v: k for k, v in away.items()})
+
+    return run
+
+
 def words_of(text: Column) -> Column:
     """The words of a text (null: none)."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

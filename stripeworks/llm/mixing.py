@@ -4,6 +4,12 @@ Each document's expected copies are its source's target over its source's
 size; copies are what the prefix sum of expected copies, shifted by one random
 offset, gains in whole numbers at the document.  Documents of a source are
 laid out by size, so that the words taken stay close to the target.
+
+The offset of a source is the one of ``OFFSETS`` random draws that comes
+nearest its target; with ``draws=1`` it is the only one, and each document is
+taken at its expected rate exactly, at the price of a wider miss in small
+sources.  Texts of any length count by their words; repeated rows and ties are
+told apart by their rank alone; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CELLS, cut, n_words_of, with_rank
+from .common import CELLS, cut, n_words_of, sheltered, with_rank
 
 WEIGHTS, SHARE, MOST_COPIES, SEED, OFFSETS = (5, 2, 1), 1.5, 2, 20_240_613, 64
 
@@ -83,15 +89,21 @@ def offsets(seed: int = SEED, n: int = OFFSETS) -> list[float]:
 def copies(rank: Column, rate: Column, offset: Column | float) -> Column:
     """Whole numbers crossed from ``rank`` to ``rank`` + 1 expected copies."""
     u = offset if isinstance(offset, Column) else F.lit(offset)
-    return F.floor((rank + 1) * rate + u) - F.floor(rank * rate + u)
+    # At high ranks rounding may cross a number too many.
+    return F.least(F.floor((rank + 1) * rate + u) - F.floor(rank * rate + u), F.ceil(rate))
+
+
+def _cell(id_: Column, text_hash: Column) -> Column:
+    """Deals rows out by a hash of their ids, without an id of their texts."""
+    return F.pmod(F.coalesce(F.conv(F.substring(F.md5(id_.cast("string")), 1, 8), 16, 10).cast("long"), text_hash), F.lit(CELLS))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = SEED, draws: int = OFFSETS) -> DataFrame:
     """Of each row of ``docs``: ``__id, __src, __th`` (hash of the text), ``size, source_size, target, copies`` and its ``__rank``; ``emit`` applies it.
 
     Sizes are words; a null text has none.  A document without words costs
     nothing and is sampled at its source's rate; in a source without any
-    words the rate is zero.  Null sources are one source.  Of ``OFFSETS``
+    words the rate is zero.  Null sources are one source.  Of ``draws``
     seeded offsets a source uses the one that comes nearest its target; the
     choice depends on the rows and the seed alone, so reruns agree.  Rows
     with equal size and id are laid out side by side in any order.
@@ -102,14 +114,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     narrow = cut(own.withColumn("__bin", size_bin(F.col("__size"))), "mix-sizes")
     totals = narrow.groupBy(F.col("__src").alias("s")).agg(F.sum("__size").alias("n"))
     plan = cut(target_table(totals, weights, share, most), "mix-targets")
-    cell = F.coalesce(F.pmod(F.col("__id"), F.lit(CELLS)), F.lit(CELLS))
+    cell = _cell(F.col("__id"), F.col("__th"))
     binned = narrow.groupBy("__src", "__bin").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(_upto("__src", "__bin")), F.lit(0)).alias("__base")
     base = binned.select(F.col("__src").alias("__s2"), F.col("__bin").alias("__b2"), before)
     ranked = with_rank(narrow, ["__src", "__bin"], ["__size", "__id", "__th"], cell, "__in_bin")
     ranked = ranked.join(base, ranked["__src"].eqNullSafe(base["__s2"]) & (ranked["__bin"] == base["__b2"])).join(plan, ranked["__src"].eqNullSafe(plan["s"]))
     ranked = cut(ranked.select("__id", "__src", "__size", "__th", (F.col("__base") + F.col("__in_bin")).alias("__rank"), "source_size", "target", "rate"), "mix-ranks")
-    tried = offsets(seed)
+    tried = offsets(seed, draws)
     sums = [F.sum(F.col("__size") * copies(F.col("__rank"), F.col("rate"), u)).alias(f"t{k}") for k, u in enumerate(tried)]
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), F.lit(u).alias("u")) for k, u in enumerate(tried)]))
     drawn = cut(ranked.groupBy("__src", "target").agg(*sums).select(F.col("__src").alias("s"), nearest["u"].alias("offset")), "mix-offsets")
@@ -123,6 +135,7 @@ def _upto(group: str, order: str):
     return Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+@sheltered
 def emit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``.
 
@@ -141,5 +154,5 @@ def emit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
         placed = with_rank(same.select(*keys, "__at"), keys, ["__at"], F.pmod(F.xxhash64("__at"), F.lit(CELLS)), "__i").select(F.col("__at").alias("__at0"), "__i")
         share = F.expr("__copies div __same + if(__i < __copies % __same, 1, 0)")
         each = same.join(placed, F.col("__at") == F.col("__at0")).withColumn("__copies", share).filter("__copies > 0")
-        taken = taken.select(*docs.columns, "__copies").unionByName(each.select(*docs.columns, "__copies"))
+        taken = taken.select(*[F.col(f"`{c}`") for c in docs.columns], "__copies").unionByName(each.select(*[F.col(f"`{c}`") for c in docs.columns], "__copies"))
     return taken.withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
