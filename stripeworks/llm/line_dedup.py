@@ -3,7 +3,8 @@
 Lines are exploded in normal form, hashed, and counted once a document; the
 lines over the threshold are looked up again by position, and each document is
 put together from the positions that stay.  Texts are shuffled once, by
-document; everything else moves hashes and positions only.
+document; everything else moves hashes and positions only.  Texts and lines
+may have any length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, UPPER, cut, let
+from .common import SPACE, UPPER, cut, let, sheltered
 
 
 def line_key(line: Column) -> Column:
@@ -46,6 +47,7 @@ def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_
     )
 
 
+@sheltered
 def drop_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``docs`` with the frequent lines gone from ``text``, plus ``n_lines`` (before) and ``n_dropped``.
 

@@ -2,6 +2,11 @@
 
 Every metric is a Column over the text, every rule a row of ``RULES``; the
 verdict is their conjunction.  No user function, no shuffle.
+
+Texts of any length are judged whole, by ratios: there is no upper bound on
+words.  Repeated rows are judged alike, an empty table gives an empty result.
+Repeats are found by 64-bit hashes: windows by the hash of their words' hashes,
+so two windows of one text would have to collide to be miscounted.
 """
 
 from __future__ import annotations
@@ -11,9 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, words_of
+from .common import SPACE, let, sheltered, words_of
 
 SYMBOLS = "#*$%&|<>"
+#: The languages that ``STOP_WORDS`` serves.
+SERVED = ("en", "de", "fr", "es")
 #: Frequent short words of the languages served.
 STOP_WORDS = (
     "the of and to in is that it was for on are as with his they be at this have from or by an not but what all were when there a he she you we do if will "
@@ -26,13 +33,14 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Rule:
-    """A document passes if low <= metric <= high, or if its words number fewer than ``from_words`` or more than ``to_words``."""
+    """A document passes if low <= metric <= high, or if its words number fewer than ``from_words`` or more than ``to_words``, or if its language isn't among ``langs`` (where given)."""
 
     metric: str
     low: float | None = None
     high: float | None = None
     from_words: int = 0
     to_words: int | None = None
+    langs: tuple[str, ...] = ()
 
 
 #: Ratios are per word (symbols, shouts, stop words) or per line.
@@ -42,7 +50,7 @@ RULES = (
     Rule("symbol_ratio", high=0.10),
     Rule("mean_word_length", low=2.0, high=14.0),
     Rule("shout_ratio", high=0.40),
-    Rule("stop_word_ratio", low=0.01, from_words=100),
+    Rule("stop_word_ratio", low=0.01, from_words=100, langs=SERVED),
     Rule("distinct_ratio", low=0.40, to_words=2_000),
     Rule("dup_line_ratio", high=0.50),
     Rule("ellipsis_line_ratio", high=0.30),
@@ -129,11 +137,14 @@ def _ratio(top: str, below: str) -> Column:
     return F.when(F.col(below) == 0, F.lit(0.0)).otherwise(F.col(top) / F.col(below))
 
 
-def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+@sheltered
+def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, lang: str = "lang") -> DataFrame:
     """``docs`` plus the metrics, ``base_failed`` and ``kept``.
 
     A null or blank text has no words: it fails the length rule.  Columns of
-    these names that ``docs`` already has are replaced.
+    these names that ``docs`` already has are replaced.  Rules for some
+    languages judge rows whose ``lang`` is one of them; where it is null, or
+    ``docs`` has no such column, they judge nothing.
     """
     made = metrics(F.col(text))
     names = ["n_words", "n_repeat_words", "n_shout", "n_stop", "n_distinct", "n_full_lines", "n_dup_lines", "n_ellipsis", "n_bullet", "word_chars", "n_symbols"]
@@ -163,5 +174,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
             ok = ok | (F.col("n_words") < r.from_words)
         if r.to_words is not None:
             ok = ok | (F.col("n_words") > r.to_words)
+        if r.langs:
+            ok = ok | ~F.coalesce(F.col(lang).isin(*r.langs), F.lit(False)) if lang in docs.columns else F.lit(True)
         passed = passed & ok
     return df.withColumn("base_failed", base).withColumn("kept", ~base & passed)

@@ -33,10 +33,12 @@ def quality() -> str:
             ok = f"{ok} or n_words < {r.from_words}"
         if r.to_words is not None:
             ok = f"{ok} or n_words > {r.to_words}"
+        if r.langs:
+            ok = f"{ok} or lang is null or lang not in ({', '.join(repr(x) for x in r.langs)})"
         tests.append(f"({ok})")
     ratio = lambda a, b: f"case when {b} = 0 then 0.0::double else {a}::double / {b}::double end"
     return rf"""
-with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+with docs as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as text from documents),
 w as (select *, {WORDS} as ws,
              list_filter(string_split(text, chr(10)), lambda x: trim(x, {SPACES}) <> '') as ls from docs),
 spots as (select r, unnest(range(1, len(ws) - {window - 2})) as p, ws from w where len(ws) >= {window + 1}),
@@ -44,7 +46,7 @@ grams as (select r, p, array_to_string(ws[p:p + {window - 1}], ' ') as g from sp
 twice as (select r, g from grams group by r, g having count(*) > 1),
 covered as (select r, count(distinct q) as n from (
     select r, unnest(range(p, p + {window})) as q from grams semi join twice using (r, g)) group by r),
-m as (select doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
+m as (select doc_id, lang, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
              length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
              len(ls) - len(list_distinct(ls)) as n_dup_lines, len(ls) as n_full,
              coalesce(covered.n, 0) as n_repeat_words,
@@ -135,7 +137,7 @@ def mix() -> str:
     weights = " ".join(f"when {i} then {w}" for i, w in enumerate(mixing.WEIGHTS))
     return rf"""
 with d as (select doc_id, source, len({WORDS})::bigint as size from documents),
-b as (select *, case when size < 16 then size else length(bin(size)) * 16 + (size * 16 >> length(bin(size))) end as bin, coalesce(((doc_id % 1021) + 1021) % 1021, 1021) as cell from d),
+b as (select *, case when size < 16 then size else length(bin(size)) * 16 + (size * 16 >> length(bin(size))) end as bin, coalesce(('0x' || md5(doc_id::varchar)[1:8])::bigint % 1021, 1021) as cell from d),
 r as (select *, row_number() over (partition by source order by bin, cell, size, doc_id) - 1 as rank from b),
 s as (select source, sum(size)::bigint as source_size, case (row_number() over (order by source nulls last) - 1) % {len(mixing.WEIGHTS)} {weights} end as w from d group by source),
 o as (select *, {mixing.MOST_COPIES} * source_size / w::double as ratio, {mixing.SHARE} * sum(source_size) over () as pool from s),
@@ -145,9 +147,9 @@ l as (select min_by(level, ratio) as level from q where level <= ratio),
 t as (select source, source_size, least({mixing.MOST_COPIES} * source_size::double, w * level) as target from s, l),
 c as (select r.*, source_size, target, case when source_size = 0 then 0.0::double else target / source_size end as rate from r join t on r.source is not distinct from t.source),
 u as (select unnest([{offsets}]) as u, unnest(range({mixing.OFFSETS})) as k),
-e as (select source, u, k, abs(sum(size * (floor((rank + 1) * rate + u) - floor(rank * rate + u))) - any_value(target)) as off from c, u group by all),
+e as (select source, u, k, abs(sum(size * least(floor((rank + 1) * rate + u) - floor(rank * rate + u), ceil(rate))) - any_value(target)) as off from c, u group by all),
 best as (select source, min_by(u, off * 1e6 + k) as u from e group by source)
-select doc_id, size, source_size, round(target, 6) as target, (size * (floor((rank + 1) * rate + u) - floor(rank * rate + u)))::bigint as taken
+select doc_id, size, source_size, round(target, 6) as target, (size * least(floor((rank + 1) * rate + u) - floor(rank * rate + u), ceil(rate)))::bigint as taken
 from c join best on c.source is not distinct from best.source
 """
 
