@@ -3,6 +3,10 @@
 A profile lists the most frequent 1- to 3-grams of letters, words padded at
 both ends, by rank.  A document goes to the language from whose profile its
 own most frequent n-grams are least out of place.
+
+Texts are read whole.  Repeated rows are judged alike, ties among n-grams go by
+code, among languages by name; an empty table gives an empty result; columns
+other than the id, the text and (to learn) the language are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ PROFILE = 300
 MOST_DOCS = 20_000
 #: Distances are fractions of the largest possible; scores are a softmax over them.
 TEMPERATURE = 0.05
+#: Texts are counted in pieces of so many characters; a word on the edge of two counts as two.
+PIECE = 1 << 18
 UNDETERMINED = "und"
 _BITS = 21
 _letters: np.ndarray | None = None
@@ -57,21 +63,38 @@ def ranked(codes: np.ndarray, size: int = PROFILE) -> np.ndarray:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE, most_docs: int = MOST_DOCS) -> dict[str, np.ndarray]:
-    """The profile of each language in ``docs``; rows without a language or with a null text teach nothing."""
+    """The profile of each language in ``docs``; rows without a language or with a null text teach nothing.
+
+    What comes to the driver is ``size`` n-grams for each distinct language:
+    languages are expected to number some thousands at most.
+    """
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = {r["l"]: r["n"] for r in known.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for k, v in n.items():
-        share = F.when(F.col(lang) == k, F.lit(min(1.0, most_docs / v))).otherwise(share)
+    # Only languages with more documents than that are drawn from; the rest are taken whole.
+    many = known.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_docs).collect()
+    share = F.lit(1.0)
+    for r in many:
+        share = F.when(F.col(lang) == r["l"], F.lit(most_docs / r["n"])).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1_000_000)) < share * 1_000_000
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, part in b.groupby("l"):
-                each, seen = np.unique(np.concatenate([ngrams(t) for t in part["t"]] or [np.zeros(0, np.uint64)]), return_counts=True)
-                yield pd.DataFrame({"l": k, "code": each.astype(np.int64), "n": seen})
-
-    grams = known.filter(drawn).select(F.col(lang).alias("l"), F.col(text).alias("t")).mapInPandas(count, "l string, code long, n long")
+            for k, part in b.groupby("doc_id"):
+                held: list[np.ndarray] = []
+                size = 0
+                for t in part["t"]:
+                    for at in range(0, len(t), PIECE):
+                        held.append(ngrams(t[at : at + PIECE]))
+                        size += len(held[-1])
+                        if size > 4 * PIECE:
+                            yield counted(k, held)
+                            held, size = [], 0
+                yield counted(k, held)
+
+    def counted(k: str, held: list[np.ndarray]) -> pd.DataFrame:
+        each, seen = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
+        return pd.DataFrame({"doc_id": k, "code": each.astype(np.int64), "n": seen})
+
+    grams = map_texts(known.filter(drawn), lang, text, count, "code long, n long").withColumnRenamed("doc_id", "l")
     sums = grams.groupBy("l", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "code"))
     out: dict[str, list] = {}
