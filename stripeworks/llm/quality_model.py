@@ -5,6 +5,10 @@ approximate a Gaussian kernel.  Each partition sums its part of the normal
 equations, so what meets on the driver is a few matrices of fixed size, and
 all labelled rows count.  Raw scores are calibrated by isotonic regression
 over a fixed grid of score bins.
+
+Texts of any length are read whole; repeated rows and ties score alike; an
+empty table gives an empty result; columns other than the ids, the text and the
+label are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +27,6 @@ from .common import cut, map_texts
 from .quality_rules import STOP_WORDS, SYMBOLS
 
 FEATURES, RIDGE, SEED = 256, 1e-3, 11
-#: Partial sums meet in so many rows before the driver adds them up.
-SLOTS = 16
 #: Raw scores are binned over this range for the calibration.
 LOW, HIGH, BINS = -0.5, 1.5, 2000
 
@@ -117,21 +119,27 @@ def fit(rows: DataFrame, n_features: int = FEATURES, ridge: float = RIDGE, seed:
     model = Model(mean, scale, rng.normal(0, 1 / np.sqrt(d), (d, n_features)), rng.uniform(0, 2 * np.pi, n_features), np.zeros(n_features + 1), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
         a, b = np.zeros((n_features + 1, n_features + 1)), np.zeros(n_features + 1)
         for part in batches:
             z = model.expand(np.array(part["x"].tolist(), float).reshape(-1, d))
             a += z.T @ z
             b += z.T @ part["y"].to_numpy(float)
-        yield pd.DataFrame({"slot": [TaskContext.get().partitionId() % SLOTS], "a": [a.tobytes()], "b": [b.tobytes()]})
+        yield pd.DataFrame({"line": np.arange(n_features + 1), "v": [x.tobytes() for x in np.hstack((a, b[:, None]))]})
 
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"a": [sum(np.frombuffer(x) for x in group["a"]).tobytes()], "b": [sum(np.frombuffer(x) for x in group["b"]).tobytes()]})
-
-    sums = rows.mapInPandas(partial, "slot int, a binary, b binary").groupBy("slot").applyInPandas(total, "a binary, b binary").collect()
-    a = sum(np.frombuffer(r.a) for r in sums).reshape(n_features + 1, -1)
-    b = sum(np.frombuffer(r.b) for r in sums)
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for part in batches:
+            for line, v in zip(part["line"], part["v"]):
+                sums[line] = sums.get(line, 0.0) + np.frombuffer(v)
+        yield pd.DataFrame({"line": list(sums), "v": [x.tobytes() for x in sums.values()]})
+
+    # Matrix lines are dealt out, and each is summed as the partitions' parts stream by: no task holds more than one matrix.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = rows.mapInPandas(partial, "line int, v binary").repartition(min(parts, n_features + 1), "line").mapInPandas(total, "line int, v binary").collect()
+    whole = np.zeros((n_features + 1, n_features + 2))
+    for r in sums:
+        whole[r.line] += np.frombuffer(r.v)
+    a, b = whole[:, :-1], whole[:, -1]
     model.ridge = np.linalg.solve(a + ridge * moments[0] / n_features * np.eye(n_features + 1), b)
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
