@@ -4,12 +4,16 @@ What is found is validated (check digits, calendar, number plans), numbered
 within the set of all values of its format, and sent through a keyed Feistel
 permutation of that set: equal values get equal pseudonyms in every document,
 different values different ones, and the pseudonym passes the same checks.
+
+The key is the caller's: whoever has it can undo the pseudonyms.  Texts of any
+length are read whole, ties go to the kind that comes first in ``KINDS``.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -19,8 +23,6 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 ROUNDS = 8
-#: For trials; give your own, and keep it.
-KEY = b"stripeworks trial key"
 
 
 def permute(x: int, n: int, key: bytes, tweak: bytes, inverse: bool = False) -> int:
@@ -120,7 +122,7 @@ def _card(m: str, key: bytes, inverse: bool) -> str | None:
 
 
 def _phone(m: str, key: bytes, inverse: bool) -> str | None:
-    """Ten digits of the North American plan, with or without the leading 1; both codes start with 2 to 9."""
+    """Ten digits of the North American plan, with or without the leading 1; both codes start with 2 to 9.  Without any sign between them a word like "phone" must come before."""
     d = _digits(m)
     lead, d = d[:-10], d[-10:]
     if lead not in ("", "1") or d[0] < "2" or d[3] < "2":
@@ -145,6 +147,18 @@ def _ipv4(m: str, key: bytes, inverse: bool) -> str | None:
     return ".".join(map(str, y.to_bytes(4, "big")))
 
 
+def _ipv6(m: str, key: bytes, inverse: bool) -> str | None:
+    """Written in full, as short forms would give the value away."""
+    try:
+        x = int(ipaddress.IPv6Address(m))
+    except ValueError:
+        return None
+    if x < 1 << 16 or len(m) < 6:  # "::", "::1" and the like name nobody
+        return None
+    y = permute(x, 1 << 128, key, b"ipv6", inverse)
+    return ipaddress.IPv6Address(y).exploded if y >= 1 << 16 else None
+
+
 def _ssn(m: str, key: bytes, inverse: bool) -> str | None:
     a, b, c = (int(x) for x in m.split("-"))
     if a in (0, 666) or a > 899 or not b or not c:
@@ -160,9 +174,17 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+#: Length of the IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
 def _iban(m: str, key: bytes, inverse: bool) -> str | None:
     flat = m.replace(" ", "")
-    if not 15 <= len(flat) <= 34 or _mod97(flat) != 1:
+    if _mod97(flat) != 1:
         return None
     body = _in_place(flat[4:], "iban" + flat[:2], key, inverse)
     flat = flat[:2] + f"{98 - _mod97(flat[:2] + '00' + body):02d}" + body
@@ -186,10 +208,13 @@ def _date(m: str, key: bytes, inverse: bool) -> str | None:
             continue
         if not _FIRST <= day <= _LAST:
             return None
+        # One permutation for all formats, so a date stays linked however it is written; the 1st to 12th are moved among
+        # themselves, as only the rest can be told to come day first between slashes.
+        early = f["d"] <= 12
         while True:
-            day = _FIRST + permute(day - _FIRST, _LAST - _FIRST + 1, key, f"date{mark}{order}".encode(), inverse)
+            day = _FIRST + permute(day - _FIRST, _LAST - _FIRST + 1, key, b"date" + bytes([early]), inverse)
             new = datetime.date.fromordinal(day)
-            if order != "dmy" or mark == "." or new.day > 12:
+            if (new.day <= 12) == early:
                 break
         widths = [len(x) for x in m.split(mark)]
         values = {"y": new.year, "m": new.month, "d": new.day}
@@ -217,6 +242,8 @@ def _secret(m: str, key: bytes, inverse: bool) -> str | None:
     """A word for a secret, a sign, and the value, which alone is moved."""
     head = re.match(r"(?s).*?[=:]\s*[\"']?", m)[0]
     body = m[len(head) :]
+    if head[-1] not in "\"'" and not any(map(str.isdigit, body)) and not re.search("[a-z][A-Z]", body):
+        return None  # words, not a value
     if re.fullmatch("[0-9a-f]{32,}", body) and not body.isdigit():
         return head + _hex(body, key, inverse)
     return head + _in_place(body, "secret", key, inverse)
@@ -228,11 +255,12 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
     "email": (r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}", _email),
     "key_id": (r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])", _key_id),
     "hex": (r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])", _hex),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _iban),
+    "iban": ("(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{'|'.join(v.split())})" + r"\d{2}(?: ?[A-Z0-9]){%d}" % (k - 4) for k, v in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])", _iban),
+    "ipv6": (r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:.]*[0-9A-Za-z:])", _ipv6),
     "ipv4": (r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)", _ipv4),
     "date": (r"(?<![\d./\-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/\-])", _date),
     "ssn": (r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", _ssn),
-    "phone": (r"(?:(?<![\d+])\+?1[ .\-]?)?(?:\(\d{3}\) ?|(?<![\d.\-])\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)", _phone),
+    "phone": (r"(?i:(?<![a-z])(?:phone|tel|fax|mobile|cell|call)\b[.:]? {0,2})\d{10}(?!\d)|(?:(?<![\d+])\+?1[ .\-]?)?(?:\(\d{3}\) ?|(?<![\d.\-])\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)", _phone),
     "abroad": (r"(?<![\d+])\+[1-9](?:[ .\-]?\(?\d\)?){8,14}(?!\d)", _abroad),
     "card": (r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)", _card),
 }
@@ -244,7 +272,7 @@ _EACH = {k: re.compile(p) for k, (p, _) in KINDS.items()}
 HINT = re.compile(r"[0-9@=:]|A[KS]IA")
 
 
-def rewrite(text: str | None, key: bytes = KEY, inverse: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
+def rewrite(text: str | None, key: bytes, inverse: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, length) of what they replaced."""
     if not text or not HINT.search(text):
         return text, []
@@ -280,12 +308,16 @@ def _second(text: str, m: re.Match, key: bytes, inverse: bool) -> tuple[str, int
 SPANS = "array<struct<kind:string,start:int,length:int>>"
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, the rewritten ``text``, and ``found``: array of (kind, start, length) in the original, by code points.
 
     A null text stays null; texts without personal data come back as they
     are; repeated rows are treated alike; other columns are left to the caller.
+    An empty table gives an empty result.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []

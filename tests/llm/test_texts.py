@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from stripeworks.llm import langid, line_dedup, pseudonyms, quality_model, quality_rules
 
 
+KEY = b"a key for tests"
+
+
 def test_quality_rules_match_brute_force(docs, rows):
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert len(got) == len(rows)
@@ -47,21 +50,21 @@ def test_line_dedup_drops_whole_documents_to_empty(spark):
 
 def test_pseudonyms_are_valid_linked_and_reversible():
     text = "mail jo.doe@mail.example.com or +1 (988) 555-2485, card 4111 1111 1111 1111, ip 10.0.0.255, born 1980-02-29 or 12/31/1999, DE89370400440532013000, 123-45-6789"
-    new, spans = pseudonyms.rewrite(text)
+    new, spans = pseudonyms.rewrite(text, KEY)
     assert {k for k, *_ in spans} == {"email", "phone", "card", "ipv4", "date", "iban", "ssn"}
-    again, found = pseudonyms.rewrite(new)
+    again, found = pseudonyms.rewrite(new, KEY)
     assert [k for k, *_ in found] == [k for k, *_ in spans], "pseudonyms pass the same checks"
-    assert pseudonyms.rewrite(new, inverse=True)[0] == text
+    assert pseudonyms.rewrite(new, KEY, inverse=True)[0] == text
     for _, s, n in spans:
         assert text[s : s + n] not in new
     card = "4111111111111111"
-    assert pseudonyms.rewrite(card)[0] == pseudonyms.rewrite("x " + card)[0][2:], "equal values stay linked"
-    assert pseudonyms.rewrite(card, b"other")[0] != pseudonyms.rewrite(card)[0]
+    assert pseudonyms.rewrite(card, KEY)[0] == pseudonyms.rewrite("x " + card, KEY)[0][2:], "equal values stay linked"
+    assert pseudonyms.rewrite(card, b"other")[0] != pseudonyms.rewrite(card, KEY)[0]
 
 
-@pytest.mark.parametrize("clean", ["version 4.0.1 of 12 parts", "4111 1111 1111 1112", "999.1.1.1", "31.02.2020 and 2020-13-01", "costs 1,234,567.89", "000-12-3456", "", "plain words"])
+@pytest.mark.parametrize("clean", ["version 4.0.1 of 12 parts", "4111 1111 1111 1112", "999.1.1.1", "31.02.2020 and 2020-13-01", "costs 1,234,567.89", "000-12-3456", "", "plain words", "The secret: everybody knew it", "password: strongly recommended", "my token = variable_name_x", "12:30:45 to 13:00", "std::vector a::b", "DE89370400440532013001 OK"])
 def test_pseudonyms_leave_the_rest_alone(clean):
-    assert pseudonyms.rewrite(clean) == (clean, [])
+    assert pseudonyms.rewrite(clean, KEY) == (clean, [])
 
 
 @pytest.mark.parametrize(
@@ -77,11 +80,64 @@ def test_pseudonyms_leave_the_rest_alone(clean):
     ],
 )
 def test_pseudonyms_between_other_things(text, kinds):
-    new, found = pseudonyms.rewrite(text)
+    new, found = pseudonyms.rewrite(text, KEY)
     assert [k for k, *_ in found] == kinds
     assert all(text[s : s + n] not in new for _, s, n in found)
 
 
+@pytest.mark.parametrize("text", ["DE89370400440532013000 OK thanks", "DE89370400440532013000 BIC COBADEFF", "DE89 3704 0044 0532 0130 00 2024"])
+def test_ibans_before_other_words(text):
+    new, found = pseudonyms.rewrite(text, KEY)
+    assert [k for k, *_ in found] == ["iban"] and new[found[0][2] :] == text[found[0][2] :]
+    assert pseudonyms.rewrite(new, KEY, inverse=True)[0] == text
+
+
+def test_dates_are_linked_over_formats():
+    for y, m, d in ((1980, 2, 29), (1999, 12, 31), (2020, 3, 5)):
+        forms = [f"{y}-{m:02d}-{d:02d}", f"{d}.{m}.{y}", f"{m:02d}/{d:02d}/{y}", f"{y}/{m:02d}/{d:02d}"]
+        moved = [pseudonyms.rewrite(f, KEY)[0] for f in forms]
+        iso = moved[0].split("-")
+        assert [int(x) for x in iso[::-1]] == [int(x) for x in moved[1].split(".")] and moved[3].split("/") == iso
+        assert moved[2].split("/") == [iso[1], iso[2], iso[0]]
+        back = [pseudonyms.rewrite(x, KEY, inverse=True)[0] for x in moved]
+        assert [b.replace(".0", ".").lstrip("0") for b in back] == [f.replace(".0", ".").lstrip("0") for f in forms], "but for zeros before short numbers"
+    late = "25/03/2020"
+    assert pseudonyms.rewrite(pseudonyms.rewrite(late, KEY)[0], KEY, inverse=True)[0] == late
+
+
+def test_more_kinds():
+    for text, kind in (("at 2001:db8:85a3::8a2e:370:7334, then", "ipv6"), ("phone: 2025550123 now", "phone"), ('password = "correcthorse"', "secret"), ("token=hunter2xyz", "secret")):
+        new, found = pseudonyms.rewrite(text, KEY)
+        assert [k for k, *_ in found] == [kind] and new != text
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(None, b"")
+
+
+def test_pseudonyms_against_brute_force(spark, rows):
+    """Row by row as the function says, planted values and nothing else; the same key undoes them."""
+    import random
+
+    rng = random.Random(7)
+
+    def card():
+        d = [4] + [rng.randrange(10) for _ in range(14)]
+        total = sum(x * 2 - 9 * (x > 4) if i % 2 == 0 else x for i, x in enumerate(d))
+        return "".join(map(str, d)) + str(-total % 10)
+
+    made, planted = [], {}
+    for i, (_, t, *_) in enumerate(rows):
+        values = [rng.choice([card(), f"u{rng.randrange(999)}@mail.example.com", f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(10**4):04d}", f"{rng.randrange(1, 255)}.{rng.randrange(255)}.7.9"]) for _ in range(rng.randrange(3))]
+        planted[i] = values
+        made.append((i, None if t is None and not values else (t or "") + "".join(f" {v} ;" for v in values)))
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs, KEY).collect()}
+    for i, t in made:
+        new, spans = pseudonyms.rewrite(t, KEY)
+        assert got[i].text == new and [(x.kind, x.start, x.length) for x in got[i].found] == spans
+        assert [t[s : s + n] for _, s, n in spans] == planted[i]
+        assert pseudonyms.rewrite(new, KEY, inverse=True)[0] == t
+
+
 def test_permutation_is_one():
     for n in (2, 10, 97, 1000):
         image = [pseudonyms.permute(i, n, b"k", b"t") for i in range(n)]
@@ -160,7 +216,7 @@ def test_odd_rows(spark, odd, none):
     made = {
         "rules": quality_rules.judge(odd),
         "lines": line_dedup.drop_frequent_lines(odd, min_docs=2),
-        "pii": pseudonyms.pseudonymise(odd),
+        "pii": pseudonyms.pseudonymise(odd, KEY),
         "model": quality_model.classify(odd, labels, n_features=16),
         "lang": langid.predict(odd),
     }
@@ -169,7 +225,7 @@ def test_odd_rows(spark, odd, none):
         assert len(got) == n, name
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((r.doc_id is None, r.doc_id or 0) for r in odd.collect()), name
     empty = labels.limit(0)
-    for df in (quality_rules.judge(none), line_dedup.drop_frequent_lines(none), pseudonyms.pseudonymise(none), quality_model.classify(none, empty), langid.predict(none)):
+    for df in (quality_rules.judge(none), line_dedup.drop_frequent_lines(none), pseudonyms.pseudonymise(none, KEY), quality_model.classify(none, empty), langid.predict(none)):
         assert df.collect() == []
     assert {r.score for r in quality_model.classify(odd, empty).collect()} == {0.5}
     lines = {r.doc_id: r for r in made["lines"].collect() if r.doc_id in (6, 9)}
@@ -187,11 +243,11 @@ def test_long_values_are_moved_whole():
     body = "".join("aZ7kQ0xB"[(i * 5) % 8] for i in range(1000))
     for head, value in (("token=", body), ("", "0123456789abcdef" * 30), ("", "A1" * 80)):
         text = f"see {head}{value} end"
-        new, spans = pseudonyms.rewrite(text)
+        new, spans = pseudonyms.rewrite(text, KEY)
         assert spans == [("secret" if head else "hex", 4, len(head) + len(value))]
         moved = new[4 + len(head) : -4]
         assert len(moved) == len(value) and all(moved[at : at + 40] != value[at : at + 40] for at in range(0, len(value), 40))
-        assert pseudonyms.rewrite(new, inverse=True)[0] == text
+        assert pseudonyms.rewrite(new, KEY, inverse=True)[0] == text
 
 
 def test_long_texts_are_judged_by_their_ratios(spark):
@@ -204,3 +260,54 @@ def test_long_texts_are_judged_by_their_ratios(spark):
     got = {r.doc_id: r for r in quality_rules.judge(docs).select("doc_id", "n_words", "kept").collect()}
     assert got[1].n_words > 200_000 and got[1].kept
     assert got[2].n_words > 200_000 and not got[2].kept
+
+
+def test_normal_equations_against_brute_force(spark):
+    """The model is the ridge solution over all rows at once, calibrated by plain isotonic regression."""
+    import numpy as np
+
+    docs, labels = _labelled(spark, 200)
+    x = quality_model.features(docs).join(labels, "doc_id").select("x", F.col("quality").alias("y")).repartition(5)
+    model = quality_model.fit(x, n_features=24)
+    rows = x.collect()
+    a, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
+    assert np.allclose(model.mean, a.mean(0)) and np.allclose(model.scale[a.std(0) > 1e-9], a.std(0)[a.std(0) > 1e-9])
+    z = model.expand(a)
+    want = np.linalg.solve(z.T @ z + quality_model.RIDGE * len(rows) / 24 * np.eye(25), z.T @ y)
+    assert np.allclose(model.ridge, want, atol=1e-6)
+    assert (np.diff(model.levels) >= 0).all() and abs((model.score(a) - y).mean()) < 0.05
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    """Profiles and distances by plain counting, texts in pieces or whole."""
+    from collections import Counter
+
+    rows = [(i, " ".join((w * 3).split()[i % 4 : 5 + i % 9]), l) for i, (l, w) in enumerate([("en", "the of and with that thing"), ("de", "der die und nicht über schön")] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    profiles = langid.learn(docs, size=40)
+    for l in ("en", "de"):
+        n = Counter(c for _, t, k in rows if k == l for c in langid.ngrams(t).tolist())
+        assert profiles[l].tolist() == [c for c, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:40]]
+    got = {r.doc_id: r for r in langid.identify(docs, profiles, size=40).collect()}
+    for i, t, _ in rows:
+        n = Counter(langid.ngrams(t).tolist())
+        own = [c for c, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:40]]
+        far = {l: sum(min(40, abs(p.tolist().index(c) - k)) if c in p.tolist() else 40 for k, c in enumerate(own)) / (40 * len(own)) for l, p in profiles.items()}
+        assert got[i].lang_pred == min(sorted(far), key=far.get)
+
+
+def test_stop_words_judge_their_languages(spark):
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("бвгдежзик") for _ in range(5)) for _ in range(900)]
+    text = " ".join(rng.choice(words) for _ in range(150))
+    docs = spark.createDataFrame([(1, text, "ru"), (2, text, None), (3, text, "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_inputs_named_like_the_operators_own_columns(spark):
+    docs = spark.createDataFrame([(1, "a b\nc", "w", "l", "t", "d")], "doc_id long, text string, __w string, __l string, __th string, __drop string")
+    for df in (quality_rules.judge(docs), line_dedup.drop_frequent_lines(docs)):
+        r = df.first()
+        assert (r["__w"], r["__l"], r["__th"], r["__drop"]) == ("w", "l", "t", "d") and r.text == "a b\nc"
