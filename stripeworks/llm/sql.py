@@ -71,8 +71,18 @@ from k
 def fingerprints() -> str:
     cut = f"regexp_replace(p, '{merkle.CUT}', '\\1' || chr(31), 'g')"
     hashes = "list_transform(a, lambda x: x.h)"
-    phrases = "list_distinct(list_filter(string_split_regex({}, '[ :=,|;]'), lambda x: length(x) = 6))"
-    near = "round(case when a.fp[1:32] = {0}.fp[1:32] then 1.0 else len(list_intersect(a.ph, {0}.ph)) * 2 / (len(a.ph) + len({0}.ph)) end, 6)::double"
+    leaves = "coalesce(list_sum(list_transform({}, lambda x: length(x) - length(translate(x, ',|', '')) + 1)), 0)"
+    inside = "list_distinct(flatten(list_transform({}, lambda x: string_split(split_part(x, '{}', 2), '{}'))))"
+    both, only = ("list_filter({0}, lambda e: " + f"{k} list_contains({{1}}, e))" for k in ("", "not"))
+
+    def near(other: str, into: str) -> str:
+        """Of the pair (a, other): sections, then paragraphs of what is left, then phrases."""
+        return f"""{into}0 as (select a.doc_id, a.fp[1:32] = {other}.fp[1:32] as same, {both.format('a.secs', f'{other}.secs')} as c, {only.format('a.secs', f'{other}.secs')} as x, {only.format(f'{other}.secs', 'a.secs')} as y
+from g a join g {other} on {'a.doc_id = b.doc_id and b.edited' if other == 'b' else 'c.doc_id = a.next_id and not c.edited'} where not a.edited),
+{into}1 as (select doc_id, same, {leaves.format('c')} as n, {inside.format('x', ':', '|')} as x, {inside.format('y', ':', '|')} as y from {into}0),
+{into}2 as (select doc_id, same, n + {leaves.format(both.format('x', 'y'))} as n, {inside.format(only.format('x', 'y'), '=', ',')} as x, {inside.format(only.format('y', 'x'), '=', ',')} as y from {into}1),
+{into} as (select doc_id, round(case when same then 1.0 else 2 * (n + len(list_intersect(x, y))) / (2 * n + len(x) + len(y)) end, 6)::double as near from {into}2)"""
+
     return f"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 n as (select doc_id, text, length(text) // 2 as half, coalesce(lead(text) over w, first_value(text) over w) as next_text,
@@ -84,10 +94,11 @@ s0 as (select doc_id, edited, text, next_id, list_transform(string_split(text, c
 s1 as (select * exclude (pars), list_transform(pars, lambda a: {{'h': md5(array_to_string({hashes}, '')),
        'b': array_to_string(list_transform(a, lambda x: x.h[1:12] || '=' || x.b), '|')}}) as a from s0),
 f as (select doc_id, edited, text, next_id, sha256(array_to_string({hashes}, ''))[1:32] || ' ' || array_to_string(list_transform(a, lambda x: x.h[1:16] || ':' || x.b), ';') as fp from s1),
-g as (select *, {phrases.format('fp')} as ph from f)
-select a.doc_id, length(a.text)::bigint as n_chars, sha256(b.text) as edited_sha256, a.fp as fingerprint, b.fp as edited_fingerprint,
-       {near.format('b')} as near_edited, {near.format('c')} as near_next
-from g a join g b on a.doc_id = b.doc_id and b.edited join g c on c.doc_id = a.next_id and not c.edited where not a.edited
+g as (select *, list_distinct(string_split(fp[34:], ';')) as secs from f),
+{near('b', 'e')},
+{near('c', 'm')}
+select a.doc_id, length(a.text)::bigint as n_chars, sha256(b.text) as edited_sha256, a.fp as fingerprint, b.fp as edited_fingerprint, e.near as near_edited, m.near as near_next
+from g a join g b on a.doc_id = b.doc_id and b.edited join e on e.doc_id = a.doc_id join m on m.doc_id = a.doc_id where not a.edited
 """
 
 

@@ -199,12 +199,15 @@ def _merkle(t):
 
 
 def _near(a, b):
-    import re
-
+    """Sections, then paragraphs of what is left, then phrases, as sets."""
     if a[:32] == b[:32]:
         return 1.0
-    x, y = ({p for p in re.split("[ :=,|;]", f) if len(p) == 6} for f in (a, b))
-    return round(2 * len(x & y) / (len(x) + len(y)), 6)
+    shared, x, y = 0, *(set(f[33:].split(";")) for f in (a, b))
+    for mark, between in ((":", "|"), ("=", ",")):
+        shared += sum(n.count(",") + n.count("|") + 1 for n in x & y)
+        x, y = ({p for n in own - other for p in n.split(mark, 1)[1].split(between)} for own, other in ((x, y), (y, x)))
+    shared += len(x & y)
+    return round(2 * shared / (2 * shared + len(x - y) + len(y - x)), 6)
 
 
 def test_merkle_matches_brute_force(docs, rows):
@@ -223,9 +226,23 @@ def test_merkle_matches_brute_force(docs, rows):
 def test_merkle_locates_edits(spark):
     a = "one two\nthree four\n\nfive six\nseven"
     b = "one two\nthree 4\n\nfive six\nseven\n\nnew"
-    df = spark.createDataFrame([(a, b), (a, a)], "a string, b string")
+    four = "\n".join("pqrs")
+    df = spark.createDataFrame([(a, b), (a, a), (four, "top\n" + four), ("x\n\ny\nz", "y\nz\n\nx")], "a string, b string")
     d = df.select(merkle.differing_branches(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("d")).collect()
-    assert [(x.section, x.paragraph) for x in d[0].d] == [(0, 1), (2, None)] and d[1].d == []
+    got = [sorted(tuple(x) for x in r.d) for r in d]
+    assert got == [[("a", 0, 1), ("b", 0, 1), ("b", 2, None)], [], [("b", 0, 0)], []], "an insertion is one branch, a move none"
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_next_rows_over_ranges(spark, parts):
+    """Successors by id, then hash, null ids last, and round to the first: in one range or many."""
+    rng = random.Random(parts)
+    rows = [(rng.choice([None, rng.randrange(-50, 50), 7, 2**62]), hashlib.md5(str(i).encode()).hexdigest()) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, th string").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1])}
+    got = merkle.with_next(df, "id", ["th"], "th", parts).collect()
+    assert len(got) == 200 and {r.th: r.next_th for r in got} == want
 
 
 def test_lone_and_tied_documents(spark):
