@@ -104,19 +104,36 @@ def circle_intersections(x0, y0, r0, x1, y1, r1) -> Column:
 
 
 def raster_line(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Array of the grid cells (x, y) of a line, one per step of its longer axis."""
-    n = F.greatest(F.abs(x1 - x0), F.abs(y1 - y0))
-    at = lambda a, b, i: F.when(n == 0, a).otherwise(F.floor(a + (b - a) * i / n + 0.5)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n.cast("int")), lambda i: F.struct(at(x0, x1, i).alias("x"), at(y0, y1, i).alias("y")))
+    """Array of the grid cells (x, y) of a line, one per step of its longer axis; the shorter one is rounded, halves towards the start."""
+    dx, dy = F.abs(x1 - x0), F.abs(y1 - y0)
+    n = F.greatest(dx, dy)
+
+    def at(a: Column, b: Column, d: Column, i: Column) -> Column:
+        moved = F.floor((2 * i * d + n - 1) / F.nullif(2 * n, F.lit(0)))
+        return (a + F.signum((b - a).cast("double")) * F.coalesce(moved, F.lit(0))).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), n.cast("int")), lambda i: F.struct(at(x0, x1, dx, i).alias("x"), at(y0, y1, dy, i).alias("y")))
 
 
 def raster_circle(cx: Column, cy: Column, radius: Column) -> Column:
-    """Array of the distinct grid cells (x, y) of a circle of whole radius: one per step along both axes, each side."""
-    steps = F.sequence(-radius, radius)
-    rise = lambda i: F.floor(F.sqrt((radius * radius - i * i).cast("double")) + 0.5).cast("int")
-    cell = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
-    four = F.transform(steps, lambda i: F.array(cell(cx + i, cy + rise(i)), cell(cx + i, cy - rise(i)), cell(cx + rise(i), cy + i), cell(cx - rise(i), cy + i)))
-    return F.array_distinct(F.flatten(four))
+    """Array of the distinct grid cells (x, y) of a disc of whole radius, row by row between the ends of its rim.
+
+    The rim is the midpoint circle's: an octant runs from the top until its
+    two coordinates meet, and its decision value says when to step down.
+    """
+    start = F.struct(F.lit(0).alias("x"), radius.alias("y"), (1 - radius).alias("f"), F.array(F.struct(F.lit(0).alias("v"), radius.alias("w")), F.struct(radius.alias("v"), F.lit(0).alias("w"))).alias("spans"))
+
+    def step(s: Column, _: Column) -> Column:
+        down = s["f"] >= 0
+        x, y = s["x"] + 1, F.when(down, s["y"] - 1).otherwise(s["y"])
+        f = s["f"] + F.when(down, -2 * y).otherwise(0) + 2 * x + 1
+        spans = F.concat(s["spans"], F.array(F.struct(y.alias("v"), x.alias("w")), F.struct(x.alias("v"), y.alias("w"))))
+        return F.when(s["x"] < s["y"], F.struct(x.alias("x"), y.alias("y"), f.alias("f"), spans.alias("spans"))).otherwise(s)
+
+    # The column through the centre is part of the disc at every height.
+    spans = F.concat(F.aggregate(F.sequence(F.lit(0), radius), start, step)["spans"], F.transform(F.sequence(F.lit(0), radius), lambda v: F.struct(v.alias("v"), F.lit(0).alias("w"))))
+    row = lambda s, side: F.transform(F.sequence(-s["w"], s["w"]), lambda i: F.struct((cx + i).cast("int").alias("x"), (cy + side * s["v"]).cast("int").alias("y")))
+    return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.concat(row(s, 1), row(s, -1)))))
 
 
 def depth_colour(depth: Column, low: float, high: float) -> Column:

@@ -117,7 +117,12 @@ def accuracy(errors: DataFrame) -> DataFrame:
 
 
 def circle_fit(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Centre and radius by modified least squares, from nine moment sums in closed form; null if the points are in line."""
+    """Centre by modified least squares, from nine moment sums in closed form, and the points' mean distance from it; null if the points are in line.
+
+    Points are taken relative to their mean, so that the sums don't cancel far from the origin.
+    """
+    mean = points.groupBy(*keys).agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"))
+    points = points.select(*keys, x, y).join(mean, list(keys)).withColumn(x, F.col(x) - F.col("__mx")).withColumn(y, F.col(y) - F.col("__my"))
     p = lambda i, j: F.sum(F.pow(F.col(x), float(i)) * F.pow(F.col(y), float(j)))
     s = points.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), *[p(i, j).alias(f"m{i}{j}") for i, j in ((1, 0), (0, 1), (2, 0), (1, 1), (0, 2), (3, 0), (2, 1), (1, 2), (0, 3))])
     c = F.col
@@ -128,9 +133,9 @@ def circle_fit(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y
     f = (c("n") * (c("m21") + c("m03")) - c("m01") * (c("m20") + c("m02"))) / 2
     det = a * d - b * b
     fit = s.withColumn("cx", F.when(F.abs(det) > 1e-12, (d * e - b * f) / det)).withColumn("cy", F.when(F.abs(det) > 1e-12, (a * f - b * e) / det))
-    # the mean distance from the centre needs the points; the root of the mean square comes from the sums
-    square = (c("m20") - 2 * c("cx") * c("m10") + c("m02") - 2 * c("cy") * c("m01")) / c("n") + c("cx") * c("cx") + c("cy") * c("cy")
-    return fit.select(*keys, "cx", "cy", F.sqrt(square).alias("radius"))
+    far = points.join(fit.select(*keys, "cx", "cy"), list(keys))
+    away = F.avg(F.hypot(F.col(x) - F.col("cx"), F.col(y) - F.col("cy")))
+    return far.groupBy(*keys).agg((F.first("__mx") + F.first("cx")).alias("cx"), (F.first("__my") + F.first("cy")).alias("cy"), away.alias("radius"))
 
 
 def rigid_alignment(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:

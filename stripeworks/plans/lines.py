@@ -53,22 +53,22 @@ def clean_lines(spark, sf_dir):
     return mapping.clean_lines(v.select("line_id").distinct(), v, 5, 7.0).select("line_id", "vertices", r6("length").alias("length"))
 
 
-_PT = f"select line_id * 10 + vtx as pid, line_id // 2 as lane, x + 0.25 as x, y + 0.1 as y from ({VTX}) where line_id % 2 = 0"
-_LN = f"select line_id // 2 as lane, line_id, vtx, x, y, count(*) over (partition by line_id) as n from ({VTX}) where line_id % 2 = 1"
-_SEG = f"""select p.pid, l.line_id, p.x, p.y, l.vtx, l.n, row_number() over (partition by p.pid, l.line_id order by (p.x-l.x)*(p.x-l.x)+(p.y-l.y)*(p.y-l.y), l.vtx) as rn
+_PT = f"select line_id * 10 + vtx as pid, line_id // 2 as lane, x + 0.25 as x, y + 0.1 as y, z from ({VTX}) where line_id % 2 = 0"
+_LN = f"select line_id // 2 as lane, line_id, vtx, x, y, z, count(*) over (partition by line_id) as n from ({VTX}) where line_id % 2 = 1"
+_SEG = f"""select p.pid, l.line_id, p.x, p.y, p.z, l.vtx, l.n, row_number() over (partition by p.pid, l.line_id order by (p.x-l.x)*(p.x-l.x)+(p.y-l.y)*(p.y-l.y)+(p.z-l.z)*(p.z-l.z), l.vtx) as rn
 from ({_PT}) p join ({_LN}) l using (lane)"""
 
 
 @query(
-    f"""with s as (select pid, line_id, min(vtx) as segment, any_value(x) as x, any_value(y) as y, any_value(n) as n, count(*) as c from ({_SEG}) where rn <= 2 group by 1, 2),
+    f"""with s as (select pid, line_id, min(vtx) as segment, any_value(x) as x, any_value(y) as y, any_value(z) as z, any_value(n) as n, count(*) as c from ({_SEG}) where rn <= 2 group by 1, 2),
 k as (select * from s where c = 2 and segment <> 0 and segment <= n - 3)
-select pid, k.line_id, segment, {d6('abs((b.x-a.x)*(k.y-a.y) - (b.y-a.y)*(k.x-a.x)) / sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y))', 'distance')}
+select pid, k.line_id, segment, {d6('sqrt(((b.y-a.y)*(k.z-a.z) - (b.z-a.z)*(k.y-a.y))**2 + ((b.z-a.z)*(k.x-a.x) - (b.x-a.x)*(k.z-a.z))**2 + ((b.x-a.x)*(k.y-a.y) - (b.y-a.y)*(k.x-a.x))**2) / sqrt((b.x-a.x)**2+(b.y-a.y)**2+(b.z-a.z)**2)', 'distance')}
 from k join ({VTX}) a on a.line_id = k.line_id and a.vtx = segment join ({VTX}) b on b.line_id = k.line_id and b.vtx = segment + 1"""
 )
 def line_match(spark, sf_dir):
     v = frame(spark, sf_dir, "line_vtx")
-    pts = v.filter("line_id % 2 = 0").selectExpr("line_id * 10 + vtx as pid", "line_id div 2 as lane", "x + 0.25D as x", "y + 0.1D as y")
-    own = v.filter("line_id % 2 = 1").selectExpr("line_id div 2 as lane", "line_id", "vtx", "x", "y", "count(*) over (partition by line_id) as n")
+    pts = v.filter("line_id % 2 = 0").selectExpr("line_id * 10 + vtx as pid", "line_id div 2 as lane", "x + 0.25D as x", "y + 0.1D as y", "z")
+    own = v.filter("line_id % 2 = 1").selectExpr("line_id div 2 as lane", "line_id", "vtx", "x", "y", "z", "count(*) over (partition by line_id) as n")
     m = joins.segment_match(pts, own, ["lane"], "pid", "line_id")
     return m.select("pid", "line_id", "segment", r6("distance").alias("distance"))
 
@@ -91,11 +91,20 @@ def rotated_extents(spark, sf_dir):
 
 
 
-@query(f"select distinct line_id, round((line_id % 11)::double, 4) + 0.0 as cx, round(-(line_id % 13)::double, 4) + 0.0 as cy, round((5 + line_id % 7)::double, 4) as radius from ({VTX})")
+_ARC = f"""select line_id, cos(vtx * 0.3) * (5 + line_id % 7) + line_id % 11 + ((line_id * 7 + vtx * 3) % 5) / 50.0::DOUBLE as x,
+sin(vtx * 0.3) * (5 + line_id % 7) - line_id % 13 + ((line_id * 3 + vtx * 7) % 4) / 50.0::DOUBLE as y from ({VTX})"""
+
+
+@query(
+    f"""with p as ({_ARC}), s as (select line_id, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x*x) as xx, sum(x*y) as xy, sum(y*y) as yy, sum(x*x*x+x*y*y) as qx, sum(x*x*y+y*y*y) as qy from p group by 1),
+e as (select line_id, n*xx-sx*sx as a, n*xy-sx*sy as b, n*yy-sy*sy as c, (n*qx-sx*(xx+yy))/2 as d, (n*qy-sy*(xx+yy))/2 as e from s),
+f as (select line_id, (d*c-b*e)/(a*c-b*b) as cx, (a*e-b*d)/(a*c-b*b) as cy from e)
+select line_id, round(any_value(cx), 4) + 0.0 as cx, round(any_value(cy), 4) + 0.0 as cy, round(avg(sqrt((x-cx)**2 + (y-cy)**2)), 4) as radius from p join f using (line_id) group by 1"""
+)
 def circle_fit(spark, sf_dir):
-    """Arcs of known circles come back."""
-    v = frame(spark, sf_dir, "line_vtx").selectExpr("line_id", "cos(vtx * 0.3D) * (5 + line_id % 7) + line_id % 11 as x", "sin(vtx * 0.3D) * (5 + line_id % 7) - line_id % 13 as y")
-    c = aggregates.circle_fit(v, ["line_id"])
+    """Circles through noisy arcs."""
+    arc = ["line_id", "cos(vtx * 0.3D) * (5 + line_id % 7) + line_id % 11 + ((line_id * 7 + vtx * 3) % 5) / 50.0D as x", "sin(vtx * 0.3D) * (5 + line_id % 7) - line_id % 13 + ((line_id * 3 + vtx * 7) % 4) / 50.0D as y"]
+    c = aggregates.circle_fit(frame(spark, sf_dir, "line_vtx").selectExpr(*arc), ["line_id"])
     return c.select("line_id", (F.round("cx", 4) + 0.0).alias("cx"), (F.round("cy", 4) + 0.0).alias("cy"), F.round("radius", 4).alias("radius"))
 
 
@@ -103,8 +112,10 @@ _SEGS = f"select line_id, (line_id % 7)::int as x0, (line_id % 5)::int as y0, (l
 
 
 @query(
-    f"""select line_id, (case when n = 0 then x0 else floor(x0 + (x1 - x0) * i / n + 0.5) end)::int as x, (case when n = 0 then y0 else floor(y0 + (y1 - y0) * i / n + 0.5) end)::int as y
-from (select *, unnest(range(n + 1))::double as i from (select *, greatest(abs(x1-x0), abs(y1-y0)) as n from ({_SEGS})))"""
+    f"""with recursive s as ({_SEGS}), walk as (select line_id, x0 as x, y0 as y, x1, y1, abs(x1-x0) as dx, abs(y1-y0) as dy, abs(x1-x0) - abs(y1-y0) as err from s
+union all select line_id, x + case when 2*err > -dy then sign(x1-x) else 0 end, y + case when 2*err < dx then sign(y1-y) else 0 end, x1, y1, dx, dy,
+err - case when 2*err > -dy then dy else 0 end + case when 2*err < dx then dx else 0 end from walk where x <> x1 or y <> y1)
+select line_id, x::int as x, y::int as y from walk"""
 )
 def raster_lines(spark, sf_dir):
     s = frame(spark, sf_dir, "line_vtx").select("line_id").distinct().selectExpr("line_id", "cast(line_id % 7 as int) as x0", "cast(line_id % 5 as int) as y0", "cast(line_id % 11 as int) as x1", "cast(line_id % 13 as int) as y1")
@@ -126,9 +137,12 @@ def circle_crossings(spark, sf_dir):
 
 
 @query(
-    f"""with c as (select line_id, (line_id % 7)::int as cx, (line_id % 5)::int as cy, (1 + line_id % 6)::int as r from (select distinct line_id from ({VTX}))),
-s as (select *, floor(sqrt((r*r - i*i)::double) + 0.5)::int as h from (select *, unnest(range(-r, r + 1))::int as i from c))
-select distinct line_id, x, y from (select line_id, cx + i as x, cy + h as y from s union all select line_id, cx + i, cy - h from s union all select line_id, cx + h, cy + i from s union all select line_id, cx - h, cy + i from s)"""
+    f"""with recursive c as (select line_id, (line_id % 7)::int as cx, (line_id % 5)::int as cy, (1 + line_id % 6)::int as r from (select distinct line_id from ({VTX}))),
+walk as (select distinct r, 0 as x, r as y, 1 - r as f, 1 as gx, -2 * r as gy from c
+union all select r, x + 1, y - (f >= 0)::int, f + case when f >= 0 then gy + 2 else 0 end + gx + 2, gx + 2, gy + 2 * (f >= 0)::int from walk where x < y),
+spans as (select r, y as v, x as w from walk union select r, x, y from walk union select r, unnest(range(0, r + 1))::int, 0 from (select distinct r from c)),
+cells as (select r, v, unnest(range(-w, w + 1))::int as i from spans)
+select distinct line_id, (cx + i)::int as x, (cy + k * v)::int as y from c join cells using (r), (select unnest([-1, 1]) as k)"""
 )
 def raster_circles(spark, sf_dir):
     s = frame(spark, sf_dir, "line_vtx").select("line_id").distinct().selectExpr("line_id", "cast(line_id % 7 as int) as cx", "cast(line_id % 5 as int) as cy", "cast(1 + line_id % 6 as int) as r")
