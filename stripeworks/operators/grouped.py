@@ -49,11 +49,14 @@ def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], one: Call
                 continue
             whole = pd.concat([*held, b.iloc[:start]], ignore_index=True) if held else b.iloc[:start]
             held = [b.iloc[start:]]
-            if len(whole):
-                yield cut(whole, _ends(whole))
+            yield from made_of(whole)
         if held:
-            whole = pd.concat(held, ignore_index=True)
-            yield cut(whole, _ends(whole))
+            yield from made_of(pd.concat(held, ignore_index=True))
+
+    def made_of(whole: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        made = cut(whole, _ends(whole)) if len(whole) else whole
+        if len(made):  # empty columns have no type
+            yield made
 
     def _ends(b: pd.DataFrame) -> np.ndarray:
         change = np.zeros(len(b), bool)

@@ -91,12 +91,18 @@ def rectangles_overlap(ax, ay, ah, aw, ac, as_, bx, by, bh, bw, bc, bs) -> Colum
 def rectangle_pairs(boxes: DataFrame, on: Sequence[str], size: float, id_col: str = "id", heading: str = "yaw_deg", frozen: str | None = "frozen") -> DataFrame:
     """Pairs ``id < b_id`` of overlapping boxes (x, y, h, w, heading in degrees); frozen boxes stay alone.
 
-    ``size`` is a bound on the distance of the centres of boxes that overlap: the longest diagonal.
+    Boxes may be of any length: one over ``size`` is filed under the cell of each of its pieces that are no larger, and
+    boxes overlap where pieces do, whose centres are then within a cell's width.
     """
     rows = boxes if frozen is None else boxes.filter(~F.col(frozen))
     rows = rows.select(*on, id_col, "x", "y", "h", "w", F.cos(F.radians(F.col(heading))).alias("c"), F.sin(F.radians(F.col(heading))).alias("s"))
-    pairs = grid_pairs(rows, renamed(rows, on), on, size).filter(F.col(id_col) < F.col(f"b_{id_col}"))
-    return pairs.filter(rectangles_overlap(*[F.col(c) for c in ("x", "y", "h", "w", "c", "s", "b_x", "b_y", "b_h", "b_w", "b_c", "b_s")])).select(*on, id_col, f"b_{id_col}")
+    n, m = (F.greatest(F.lit(1), F.ceil(F.col(c) / size)).cast("int") for c in ("h", "w"))
+    filed = rows.withColumn("__n", n).withColumn("__m", m).withColumn("__k", F.explode(F.expr("sequence(0, __n * __m - 1)")))
+    along = ((F.col("__k") % F.col("__n") + 0.5) / F.col("__n") - 0.5) * F.col("h")
+    across = (F.floor(F.col("__k") / F.col("__n")) + 0.5) / F.col("__m") * F.col("w") - F.col("w") / 2
+    filed = filed.withColumn("gx", F.col("x") + along * F.col("c") + across * F.col("s")).withColumn("gy", F.col("y") + along * F.col("s") - across * F.col("c")).drop("__n", "__m", "__k")
+    pairs = grid_pairs(filed, renamed(filed, on), on, size * 2**0.5, "gx", "gy").filter(F.col(id_col) < F.col(f"b_{id_col}"))
+    return pairs.filter(rectangles_overlap(*[F.col(c) for c in ("x", "y", "h", "w", "c", "s", "b_x", "b_y", "b_h", "b_w", "b_c", "b_s")])).select(*on, id_col, f"b_{id_col}").distinct()
 
 
 def polyline_directions(vertices: DataFrame, line: str = "line_id", order: str = "vtx") -> DataFrame:
@@ -150,17 +156,22 @@ def segment_match(points: DataFrame, lines: DataFrame, on: Sequence[str], point_
 
     The two nearest vertices decide; the smaller index is the segment, which
     is dropped at the line's ends (first, or beyond the third from last).
-    ``lines`` has line, vtx, x, y, n (vertices); ``on`` pairs points and lines.
+    ``lines`` has line, vtx, x, y, z, n (vertices); ``on`` pairs points and
+    lines.  All distances are in space.
     """
     pairs = points.join(renamed(lines, [*on, line]), list(on))
-    d2 = (F.col("x") - F.col("b_x")) * (F.col("x") - F.col("b_x")) + (F.col("y") - F.col("b_y")) * (F.col("y") - F.col("b_y"))
+    gap = lambda c: F.col(c) - F.col(f"b_{c}")
+    d2 = gap("x") * gap("x") + gap("y") * gap("y") + gap("z") * gap("z")
     w = Window.partitionBy(point_id, line).orderBy("d2", "b_vtx")
     two = pairs.withColumn("d2", d2).withColumn("__r", F.row_number().over(w)).filter("__r <= 2")
-    seg = two.groupBy(point_id, line).agg(F.min("b_vtx").alias("segment"), F.first("x").alias("x"), F.first("y").alias("y"), F.first("b_n").alias("n"), F.count(F.lit(1)).alias("__two"))
+    seg = two.groupBy(point_id, line).agg(F.min("b_vtx").alias("segment"), *[F.first(c).alias(c) for c in "xyz"], F.first("b_n").alias("n"), F.count(F.lit(1)).alias("__two"))
     seg = seg.filter("__two = 2 and segment <> 0 and segment <= n - 3")
-    ends = lines.select(F.col(line).alias("__l"), F.col("vtx").alias("__v"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(Window.partitionBy(line).orderBy("vtx")).alias("bx"), F.lead("y").over(Window.partitionBy(line).orderBy("vtx")).alias("by"))
+    order = Window.partitionBy(line).orderBy("vtx")
+    ends = lines.select(F.col(line).alias("__l"), F.col("vtx").alias("__v"), *[F.col(c).alias(f"a{c}") for c in "xyz"], *[F.lead(c).over(order).alias(f"b{c}") for c in "xyz"])
     hit = seg.join(ends, (F.col(line) == F.col("__l")) & (F.col("segment") == F.col("__v")))
-    ux, uy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    dist = F.abs(ux * (F.col("y") - F.col("ay")) - uy * (F.col("x") - F.col("ax"))) / F.sqrt(ux * ux + uy * uy)
+    ux, uy, uz = (F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz")
+    vx, vy, vz = (F.col(c) - F.col(f"a{c}") for c in "xyz")
+    normal = (uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx)
+    dist = F.sqrt(sum(c * c for c in normal[1:]) + normal[0] * normal[0]) / F.sqrt(ux * ux + uy * uy + uz * uz)
     out = hit.withColumn("distance", dist)
     return (out if max_distance is None else out.filter(F.col("distance") <= max_distance)).select(point_id, line, "segment", "distance")

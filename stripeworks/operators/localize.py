@@ -1,4 +1,4 @@
-"""Localisation against a map: match, solve, match again, one window per trajectory."""
+"""Localisation against a map: match, solve, match again, in windows that slide along each trajectory."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from ..storage import cut, discard
 from . import joins, kernels
 from .grouped import Group, by_group
 
+#: Poses solved together, and how many of them the next window takes up again.
+WINDOW, OVERLAP = 100, 20
 POSES = "traj_id long, frame_id long, t double, r array<double>, p array<double>"
 
 
@@ -40,33 +42,44 @@ def matches(points: DataFrame, poses: DataFrame, lines: DataFrame, max_distance:
     return near.groupBy("traj_id", "frame_id", "pid").agg(F.min_by("b_s", F.struct("d", "b_seg")).alias("s"))
 
 
-def localize(poses: DataFrame, points: DataFrame, lines: DataFrame, rounds: int = 3, max_distance: float = 1.0, prior: bool = True) -> DataFrame:
+def localize(poses: DataFrame, points: DataFrame, lines: DataFrame, rounds: int = 3, max_distance: float = 1.0, prior: bool = True, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """Poses (traj_id, frame_id, t, r, p) refined against the map.
 
     Odometry between consecutive frames comes from the poses as given; the
-    first pose of a trajectory has a prior.  ``points`` carry ``sigma``.  A
-    trajectory is one window and is solved in one task; trajectories are
-    apart.  Each round matches anew with what the last one found.
+    first pose of a trajectory has a prior.  ``points`` carry ``sigma``.
+    Trajectories are apart; each is solved in one task, ``window`` poses at a
+    time: the next window takes up the last ``overlap`` of them where the one
+    before left them, its first pose as a prior, so memory and time grow with
+    the length alone.  Each round matches anew with what the last one found.
     """
     first = poses.select("traj_id", "frame_id", "t", F.col("r").alias("r0"), F.col("p").alias("p0"))
     now = cut(poses.select("traj_id", "frame_id", "t", "r", "p"), "poses")
 
     def solve(g: Group) -> Group:
         n = len(g["t"])
-        r0 = [np.array(v, float).reshape(3, 3) for v in g["r0"]]
-        p0 = [np.array(v, float) for v in g["p0"]]
-        w = kernels.Window([np.array(v, float).reshape(3, 3) for v in g["r"]], [np.array(v, float) for v in g["p"]])
-        if prior:
-            w.priors = [(0, r0[0], p0[0])]
-        w.odometry = [(i, i + 1, r0[i].T @ r0[i + 1], r0[i].T @ (p0[i + 1] - p0[i])) for i in range(n - 1)]
-        for i, found in enumerate(g["m"]):
-            for m in found if found is not None else ():
-                m = m.asDict() if hasattr(m, "asDict") else m
-                s = m["s"].asDict() if hasattr(m["s"], "asDict") else m["s"]
-                w.lines.append((i, np.array([m["x"], m["y"], m["z"]]), np.array([s["ax"], s["ay"], s["az"]]), np.array([s["bx"], s["by"], s["bz"]]), float(m["sigma"])))
-        if w.lines:
-            kernels.solve_window(w)
-        return {"traj_id": g["traj_id"], "frame_id": g["frame_id"], "t": g["t"], "r": [a.ravel().tolist() for a in w.r], "p": [a.tolist() for a in w.t]}
+        r0, r = ([np.array(v, float).reshape(3, 3) for v in g[c]] for c in ("r0", "r"))
+        p0, p = ([np.array(v, float) for v in g[c]] for c in ("p0", "p"))
+        at = 0
+        while True:
+            end = min(n, at + window)
+            w = kernels.Window(r[at:end], p[at:end])
+            if at:
+                w.priors = [(0, r[at], p[at])]
+            elif prior:
+                w.priors = [(0, r0[0], p0[0])]
+            w.odometry = [(i - at, i + 1 - at, r0[i].T @ r0[i + 1], r0[i].T @ (p0[i + 1] - p0[i])) for i in range(at, end - 1)]
+            for i in range(at, end):
+                for m in g["m"][i] if g["m"][i] is not None else ():
+                    m = m.asDict() if hasattr(m, "asDict") else m
+                    s = m["s"].asDict() if hasattr(m["s"], "asDict") else m["s"]
+                    w.lines.append((i - at, np.array([m["x"], m["y"], m["z"]]), np.array([s["ax"], s["ay"], s["az"]]), np.array([s["bx"], s["by"], s["bz"]]), float(m["sigma"])))
+            if w.lines:
+                kernels.solve_window(w)
+                r[at:end], p[at:end] = w.r, w.t
+            if end == n:
+                break
+            at = end - overlap
+        return {"traj_id": g["traj_id"], "frame_id": g["frame_id"], "t": g["t"], "r": [a.ravel().tolist() for a in r], "p": [a.tolist() for a in p]}
 
     for _ in range(rounds):
         hits = matches(points, now, lines, max_distance).join(points, ["traj_id", "frame_id", "pid"])

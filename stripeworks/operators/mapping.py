@@ -60,7 +60,7 @@ def clusters(nodes: DataFrame, pairs: DataFrame, node: str, a: str, b: str) -> D
 
 
 def box_clusters(boxes: DataFrame, size: float = 20.0) -> DataFrame:
-    """Adds ``cluster`` to boxes: components of overlap within a class; frozen boxes alone."""
+    """Adds ``cluster`` to boxes: components of overlap within a class; frozen boxes alone.  ``size`` is that of the grid, not of the boxes."""
     return clusters(boxes, joins.rectangle_pairs(boxes, ["road_class"], size), "id", "id", "b_id")
 
 
@@ -69,15 +69,20 @@ def line_clusters(vertices: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     return clusters(vertices.select("line_id").distinct(), joins.polyline_pairs(vertices, on), "line_id", "line_id", "b_line_id")
 
 
-MERGED_BOX = "cluster long, n int, x double, y double, h double, w double, heading double, sigma array<double>, corners array<double>"
+MERGED_BOX = "cluster long, n int, best_id long, road_class int, percept_distance double, x double, y double, h double, w double, heading double, sigma array<double>, corners array<double>"
 
 
 def merge_box_clusters(boxes: DataFrame, mode: int = 0) -> DataFrame:
-    """One box per cluster from its sightings (x, y, h, w, yaw_deg, sigma0..3), the one with the smallest id first.
+    """One box per cluster from its sightings (x, y, h, w, yaw_deg, sigma0..3, road_class, percept_distance), the one with the smallest id first.
 
+    Class and distance are those of the best member: seen from nearest among
+    the ones not shorter than the upper median by more than 0.1.  Merged guide
+    boxes of under 2 square metres, or shorter than 0.5 m, are dropped.
     A cluster is the sightings of one marking, a handful of rows.
     """
-    def one(g: Group) -> Group:
+    def one(g: Group) -> Group | None:
+        tall = g["h"] >= np.sort(g["h"])[len(g["h"]) // 2] - 0.1
+        best = int(np.argmin(np.where(tall, g["percept_distance"], np.inf)))
         yaw = np.radians(g["yaw_deg"])
         along, across = np.column_stack((np.cos(yaw), np.sin(yaw))), np.column_stack((np.sin(yaw), -np.cos(yaw)))
         mean = np.column_stack((g["x"], g["y"]))
@@ -86,9 +91,11 @@ def merge_box_clusters(boxes: DataFrame, mode: int = 0) -> DataFrame:
         corners, sigma, heading = kernels.merge_boxes(mean, box, np.column_stack([g[f"sigma{i}"] for i in range(4)]), yaw, mode)
         x, y = corners.mean(0).tolist()
         h, w = float(np.linalg.norm(corners[2] - corners[1])), float(np.linalg.norm(corners[1] - corners[0]))
-        return {"cluster": int(g["cluster"][0]), "n": len(yaw), "x": x, "y": y, "h": h, "w": w, "heading": heading, "sigma": [sigma.tolist()], "corners": [corners.ravel().tolist()]}
+        if g["road_class"][best] == RoadClass.GUIDE.value and (h * w < 2.0 or h < 0.5):
+            return None
+        return {"cluster": int(g["cluster"][0]), "n": len(yaw), "best_id": int(g["id"][best]), "road_class": int(g["road_class"][best]), "percept_distance": float(g["percept_distance"][best]), "x": x, "y": y, "h": h, "w": w, "heading": heading, "sigma": [sigma.tolist()], "corners": [corners.ravel().tolist()]}
 
-    cols = ["cluster", "id", "x", "y", "h", "w", "yaw_deg", *[f"sigma{i}" for i in range(4)]]
+    cols = ["cluster", "id", "road_class", "percept_distance", "x", "y", "h", "w", "yaw_deg", *[f"sigma{i}" for i in range(4)]]
     return by_group(boxes.select(*cols), ["cluster"], ["id"], one, MERGED_BOX)
 
 
@@ -113,7 +120,7 @@ def merge_boxes(boxes: DataFrame, mode: int, vehicle: tuple[float, float, float]
     gone = lone & ~F.col("f.merged") if mode == 0 else F.lit(False)
     fate = F.when(passes, "passed").when(gone, "dropped").otherwise("merged")
     b = b.join(first.select("cluster", fate.alias("state")), "cluster")
-    kept = b.filter("state = 'passed'").select("cluster", F.lit(1).alias("n"), "x", "y", "h", "w", F.radians("yaw_deg").alias("heading"), F.array("sigma0", "sigma1", "sigma2", "sigma3").alias("sigma"), "state")
+    kept = b.filter("state = 'passed'").select("cluster", F.lit(1).alias("n"), F.col("id").alias("best_id"), "road_class", F.col("percept_distance").cast("double").alias("percept_distance"), "x", "y", "h", "w", F.radians("yaw_deg").alias("heading"), F.array("sigma0", "sigma1", "sigma2", "sigma3").alias("sigma"), "state")
     done = merge_box_clusters(b.filter("state = 'merged'"), mode).drop("corners").withColumn("state", F.lit("merged"))
     return kept.unionByName(done)
 
@@ -138,15 +145,16 @@ def merge_line_clusters(vertices: DataFrame, road_class: int = RoadClass.SOLID.v
     return by_group(rows, ["cluster"], ["line_id", "vtx"], one, MERGED_LINE)
 
 
-def freeze_flags(instances: DataFrame, vehicle: tuple[float, float, float], distance: float = 10.0, longest: int = 50) -> DataFrame:
+def freeze_flags(instances: DataFrame, vehicle: tuple[float, float, float] | None, distance: float = 10.0, longest: int = 50) -> DataFrame:
     """Sets ``frozen``: instances further than ``distance`` behind the vehicle, and lines of over ``longest`` vertices.
 
-    Rows have x, y (a line's last vertex, a box's centre), vertices, road_class, frozen.
+    Rows have x, y (a line's last vertex, a box's centre), vertices, road_class, frozen.  Without a vehicle, or with one
+    at the origin as at the last merge, all lines freeze and boxes are judged from the origin.
     """
-    vx, vy, yaw = vehicle
+    vx, vy, yaw = vehicle or (0.0, 0.0, 0.0)
     c, s = float(np.cos(np.radians(yaw))), float(np.sin(np.radians(yaw)))
     behind = (F.col("y") - vy) * c - (F.col("x") - vx) * s < -distance
-    long_line = F.col("road_class").isin(_LINES) & (F.col("vertices") > longest)
+    long_line = F.col("road_class").isin(_LINES) & ((F.col("vertices") > longest) | F.lit(vx == 0 and vy == 0))
     return instances.withColumn("frozen", F.col("frozen") | (F.col("road_class").isin(_LINES + _BOXES) & (behind | long_line)))
 
 
@@ -168,14 +176,18 @@ def geo_register(points: DataFrame, links: DataFrame, old: DataFrame, new: DataF
 def match(queries: DataFrame, targets: DataFrame, radius: float = 20.0, strict: float | None = None, min_height: float = 1.5) -> DataFrame:
     """Instances of a frame with the nearest of the map within ``radius``, by class; ties by id.
 
+    The search is in space, from height 0; the distance that comes out, and
+    the one ``strict`` limits, is from the instance's own ``z``.
     Boxes must agree in length and width within 2 m, and under ``strict`` lie
     within that distance of a map box of at least ``min_height``.  The tests
     come after the choice of the nearest, as they do for a single neighbour.
     """
-    q = queries.select("qid", "road_class", "x", "y", F.col("h").alias("qh"), F.col("w").alias("qw"))
-    t = targets.select("id", "road_class", "x", "y", "h", "w")
-    d2 = (F.col("x") - F.col("b_x")) * (F.col("x") - F.col("b_x")) + (F.col("y") - F.col("b_y")) * (F.col("y") - F.col("b_y"))
-    best = joins.radius_nearest(q, t, ["road_class"], "qid", "id", radius, d2)
+    q = queries.select("qid", "road_class", "x", "y", F.col("z").alias("qz"), F.col("h").alias("qh"), F.col("w").alias("qw"))
+    t = targets.select("id", "road_class", "x", "y", "z", "h", "w")
+    flat = (F.col("x") - F.col("b_x")) * (F.col("x") - F.col("b_x")) + (F.col("y") - F.col("b_y")) * (F.col("y") - F.col("b_y"))
+    best = joins.radius_nearest(q, t, ["road_class"], "qid", "id", radius, flat + F.col("b_z") * F.col("b_z"))
+    true2 = F.col("d2") - F.col("b_z") * F.col("b_z") + (F.col("b_z") - F.col("qz")) * (F.col("b_z") - F.col("qz"))
+    best = best.withColumn("d2", F.greatest(true2, F.lit(0.0)))
     box = F.col("road_class").isin(_BOXES)
     ok = (F.abs(F.col("b_h") - F.col("qh")) <= 2.0) & (F.abs(F.col("b_w") - F.col("qw")) <= 2.0)
     if strict is not None:

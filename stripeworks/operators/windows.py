@@ -62,7 +62,7 @@ def slope_reset(poses: DataFrame, window: int = 20, threshold: float = 1.0) -> D
 def ignored_frames(poses: DataFrame, jumps: DataFrame, back: int = 20, ahead: float = 13.5, right: float = 5.0) -> DataFrame:
     """Frames up to ``back`` before a jump, if the vehicle has moved less than ``ahead`` forward and ``right`` to the right (signed) since.
 
-    ``seq_id, frame, distance``: distance is the forward move; the newest jump's is kept.
+    ``seq_id, frame, distance``: distance is the forward move; of several jumps the oldest's is kept, as a frame is entered once.
     """
     w = Window.partitionBy("seq_id").orderBy("t_us", "pose_id")
     n = poses.withColumn("__n", F.row_number().over(w))

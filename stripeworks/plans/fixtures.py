@@ -23,9 +23,9 @@ TABLES: dict[str, tuple] = {
     "inst": (
         "events",
         [
-            ("id", E), ("cid", C), ("k", "event_id % 8"), ("frame_id", "event_id % 500"), ("road_class", f"cast({C} % 5 as int)"),
+            ("id", E), ("cid", C), ("k", "event_id % 8"), ("frame_id", "event_id div 20"), ("road_class", f"cast({C} % 5 as int)"),
             ("x", f"(({C} * 7919) % 40009) / 10.0D + ((event_id * 13) % 11 - 5) / 20.0D"), ("y", f"(({C} * 104729) % 40013) / 10.0D + ((event_id * 29) % 11 - 5) / 20.0D"),
-            ("h", "1.4D + (event_id % 50) / 10.0D"), ("w", "0.1D + (event_id % 7) / 10.0D"), ("yaw_deg", f"cast(({C} * 37) % 180 + (event_id % 5) - 2 as double)"),
+            ("z", "((event_id * 31) % 100) / 200.0D"), ("h", "1.4D + (event_id % 50) / 10.0D"), ("w", "0.1D + (event_id % 7) / 10.0D"), ("yaw_deg", f"cast(({C} * 37) % 180 + (event_id % 5) - 2 as double)"),
             *[(f"sigma{j}", f"0.05D + ((event_id * {j + 3}) % 100) / 100.0D") for j in range(4)],
             ("percept_distance", "(event_id % 200) / 10.0D"), ("frozen", "event_id % 97 = 0"), ("merged", "event_id % 89 = 0"),
         ],
@@ -35,7 +35,7 @@ TABLES: dict[str, tuple] = {
         [
             ("line_id", C), ("vtx", "cast(event_id % 8 as int)"),
             ("x", f"(({H} * 7919) % 40009) / 10.0D + (event_id % 8) + ({C} % 2) * 4"), ("y", f"(({H} * 104729) % 40013) / 10.0D + ((event_id * 13) % 11 - 5) / 40.0D"),
-            ("sigma", "0.05D + (event_id % 20) / 100.0D"),
+            ("z", "((event_id * 17) % 50) / 100.0D"), ("sigma", "0.05D + (event_id % 20) / 100.0D"),
         ],
     ),
     "gt": ("orders", [("t", "o_orderkey"), ("X0", "-2267800 + (o_orderkey % 1000) / 10.0D"), ("Y0", "5009300 + ((o_orderkey * 7) % 1000) / 10.0D"), ("Z0", "3221000 + ((o_orderkey * 13) % 1000) / 10.0D")]),

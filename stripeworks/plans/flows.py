@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import streaming
 from ..storage import cut, shared_dir
@@ -13,9 +14,18 @@ from .fixtures import frame
 
 
 def _drained(spark: SparkSession, source: DataFrame, flow) -> DataFrame:
-    """What ``flow`` makes of ``source`` as a stream, written to the shared folder and read back."""
-    stored = cut(source, "stream-in")
-    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 4).parquet(stored._cut_path)
+    """What ``flow`` makes of ``source`` as a stream, written to the shared folder and read back.
+
+    The rows are written in four files by time, one after another, and a
+    micro-batch takes one file: state is carried over.
+    """
+    stored = cut(source, "stream-source")
+    edges = stored.approxQuantile("t_us", [0.25, 0.5, 0.75], 0.01) or [0.0] * 3
+    folder = f"{shared_dir(spark)}/cuts/stream-in-{uuid.uuid4().hex}"
+    part = sum(((F.col("t_us") > e).cast("int") for e in edges), F.lit(0))
+    for k in range(len(edges) + 1):
+        stored.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     out = f"{shared_dir(spark)}/cuts/stream-out-{uuid.uuid4().hex}"
     result = flow(stream)
     q = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint").outputMode("append").trigger(availableNow=True).start()
@@ -28,11 +38,10 @@ def _drained(spark: SparkSession, source: DataFrame, flow) -> DataFrame:
 @query()
 def stream_attitude(spark, sf_dir):
     poses = frame(spark, sf_dir, "pose").select("seq_id", "pose_id", "t_us", "pitch_deg", "roll_deg")
-    ordered = poses.repartitionByRange(4, "t_us").sortWithinPartitions("t_us")
-    return _drained(spark, ordered, lambda s: streaming.attitude(s, 20, 3.0))
+    return _drained(spark, poses, lambda s: streaming.attitude(s, 20, 3.0))
 
 
 @query()
 def stream_keyframes(spark, sf_dir):
     poses = frame(spark, sf_dir, "pose").select("seq_id", "pose_id", "t_us", "x", "y")
-    return _drained(spark, poses.repartitionByRange(4, "t_us"), lambda s: streaming.keyframe_window(s, 100.0, 20))
+    return _drained(spark, poses, lambda s: streaming.keyframe_window(s, 100.0, 20))

@@ -29,11 +29,11 @@ def instance_validity(spark, sf_dir):
     return i.select("id", "road_class", ok.alias("valid"), r6(F.col("h") * F.col("w")).alias("area"))
 
 
-FRAMES = f"select pose_id as frame_id, x as px, y as py, cos(radians(yaw_deg)) as c, sin(radians(yaw_deg)) as s from ({POSE}) where pose_id < 500"
+FRAMES = f"select pose_id as frame_id, x as px, y as py, cos(radians(yaw_deg)) as c, sin(radians(yaw_deg)) as s from ({POSE})"
 
 
 def _frames(spark, sf_dir):
-    p = frame(spark, sf_dir, "pose").filter("pose_id < 500")
+    p = frame(spark, sf_dir, "pose")
     return p.select(F.col("pose_id").alias("frame_id"), F.col("x").alias("px"), F.col("y").alias("py"), F.cos(F.radians("yaw_deg")).alias("c"), F.sin(F.radians("yaw_deg")).alias("s"))
 
 
@@ -43,12 +43,12 @@ def instances_to_world(spark, sf_dir):
     return w.select("id", r6("wx").alias("wx"), r6("wy").alias("wy"))
 
 
-_IGN = "select i as frame_id, (i % 17)::double as distance from range(500) t(i) where i % 7 = 0"
+_IGN = "select event_id as frame_id, (event_id % 17)::double as distance from events where event_id % 7 = 0"
 
 
 @query(f"select id, road_class, frame_id from ({INST}) left join ({_IGN}) using (frame_id) where not (distance is not null and percept_distance > distance + 0.5 and road_class in (1, 2, 4))")
 def ignore_filter(spark, sf_dir):
-    ignored = spark.range(500).filter("id % 7 = 0").selectExpr("id as frame_id", "cast(id % 17 as double) as distance")
+    ignored = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 7 = 0").selectExpr("event_id as frame_id", "cast(event_id % 17 as double) as distance")
     return mapping.drop_ignored(frame(spark, sf_dir, "inst"), ignored).select("id", "road_class", "frame_id")
 
 
@@ -124,14 +124,14 @@ def unfreeze(spark, sf_dir):
     return mapping.unfreeze(frame(spark, sf_dir, "inst")).select("id", "frozen", "merged")
 
 
-_SITES = f"select id, ((id * 7919) % 4000) / 10.0::DOUBLE - 200 + (id % 9) as x, ((id * 104729) % 4000) / 10.0::DOUBLE - 200 + (id % 5) as y from ({INST}) where id % 4 = 0"
+_SITES = f"select id, ((id * 7919) % 4000) / 10.0::DOUBLE - 200 + (id % 9) as x, ((id * 104729) % 4000) / 10.0::DOUBLE - 200 + (id % 5) as y from ({INST})"
 _RECENT = f"select frame_id, px, py, c, s from ({FRAMES}) where frame_id >= (select max(frame_id) from ({FRAMES})) - 200"
 _LINKS = f"""links as materialized (select i.id, f.frame_id from ({_SITES}) i join ({_RECENT}) f
 on abs(c*(x-px) + s*(y-py)) < 10 and c*(y-py) - s*(x-px) > 2 and c*(y-py) - s*(x-px) < 20)"""
 
 
 def _sites(spark, sf_dir):
-    i = frame(spark, sf_dir, "inst").filter("id % 4 = 0")
+    i = frame(spark, sf_dir, "inst")
     return i.selectExpr("id", "((id * 7919) % 4000) / 10.0D - 200 + (id % 9) as x", "((id * 104729) % 4000) / 10.0D - 200 + (id % 5) as y")
 
 
@@ -168,19 +168,19 @@ def geo_register(spark, sf_dir):
     return g.select("id", r6("rx").alias("rx"), r6("ry").alias("ry"), "links")
 
 
-_MAP = f"select id, road_class, x, y, h, w, floor(x/20)::bigint as cx, floor(y/20)::bigint as cy from ({INST}) where id % 8 = 0"
-_QRY = f"select id as qid, frame_id, road_class, x + (id % 23) / 10.0::DOUBLE as x, y - (id % 19) / 10.0::DOUBLE as y, h as qh, w as qw from ({INST}) where id % 3 = 1"
+_MAP = f"select id, road_class, x, y, z, h, w, floor(x/20)::bigint as cx, floor(y/20)::bigint as cy from ({INST})"
+_QRY = f"select id as qid, frame_id, road_class, x + (id % 23) / 10.0::DOUBLE as x, y - (id % 19) / 10.0::DOUBLE as y, z / 2 as qz, h as qh, w as qw from ({INST})"
 _MATCH = f"""q as materialized (select *, floor(x/20)::bigint as cx, floor(y/20)::bigint as cy from ({_QRY})), t as materialized ({_MAP}),
-cand as (select q.qid, q.frame_id, q.road_class, q.qh, q.qw, t.id, t.h, t.w, (q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y) as d2
+cand as (select q.qid, q.frame_id, q.road_class, q.qh, q.qw, t.id, t.h, t.w, (q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y)+t.z*t.z as d0, (q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y)+(t.z-q.qz)*(t.z-q.qz) as d2
 from (select *, unnest([cx-1, cx, cx+1]) as kx from q) q join t on t.road_class = q.road_class and t.cx = q.kx and t.cy between q.cy-1 and q.cy+1),
-best as (select * from (select *, row_number() over (partition by qid order by d2, id) as rn from cand where d2 <= 400) where rn = 1)"""
+best as (select * from (select *, row_number() over (partition by qid order by d0, id) as rn from cand where d0 <= 400) where rn = 1)"""
 _OK = "(road_class not in (1, 2) or (abs(h-qh) <= 2.0 and abs(w-qw) <= 2.0 {}))"
 
 
 def _match(spark, sf_dir, strict=None):
     i = frame(spark, sf_dir, "inst")
-    q = i.filter("id % 3 = 1").selectExpr("id as qid", "road_class", "x + (id % 23) / 10.0D as x", "y - (id % 19) / 10.0D as y", "h", "w")
-    return mapping.match(q, i.filter("id % 8 = 0"), 20.0, strict)
+    q = i.selectExpr("id as qid", "road_class", "x + (id % 23) / 10.0D as x", "y - (id % 19) / 10.0D as y", "z / 2 as z", "h", "w")
+    return mapping.match(q, i, 20.0, strict)
 
 
 @query(f"with {_MATCH} select qid, road_class, id, {d6('sqrt(d2)', 'distance')} from best where {_OK.format('')}")
@@ -196,12 +196,12 @@ def map_match_strict(spark, sf_dir):
 
 
 @query(
-    f"""with {_MATCH}, k as (select qid, road_class, id, qid % 500 as frame_id from best where {_OK.format('and d2 <= 1.0 and h >= 1.5')}),
+    f"""with {_MATCH}, k as (select qid, road_class, id, qid // 20 as frame_id from best where {_OK.format('and d2 <= 1.0 and h >= 1.5')}),
 g as (select frame_id from k group by 1 having not (count(*) filter (road_class = 1) = 0 and count(*) filter (road_class = 2) = 0 and count(*) filter (road_class = 4) = 0 and count(*) filter (road_class = 0) <= 2))
 select qid, id, frame_id from k semi join g using (frame_id)"""
 )
 def match_sufficiency(spark, sf_dir):
-    return mapping.sufficient(_match(spark, sf_dir, 1.0), F.col("qid") % 500).select("qid", "id", "frame_id")
+    return mapping.sufficient(_match(spark, sf_dir, 1.0), F.expr("qid div 20")).select("qid", "id", "frame_id")
 
 
 @query(

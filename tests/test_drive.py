@@ -109,3 +109,14 @@ def test_points_match_anywhere_on_a_long_segment(spark):
     points = spark.createDataFrame(on + off, "traj_id long, frame_id long, pid long, road_class int, x double, y double, z double")
     got = localize.matches(points, poses, lines, 1.0).collect()
     assert sorted(r.pid for r in got) == list(range(1, 50)) and {(r.s.ax, r.s.bx) for r in got} == {(0.0, 30.0)}
+
+
+def test_windows_slide_over_a_long_drive(spark):
+    """Far more poses than a window are pulled back, as by one window over all."""
+    n = 70
+    lanes = spark.range(2 * n + 40).selectExpr("0 as road_class", "id as seg", f"cast(if(id < {n + 20}, -2, 2) as double) as ax", f"cast(id % {n + 20} - 5 as double) as ay", "0.0D as az").selectExpr("*", "ax as bx", "ay + 1 as by", "0.0D as bz")
+    frames = spark.range(n).selectExpr("0L as traj_id", "id as frame_id", "cast(id as double) as t", "array(1.0D, 0.0D, 0.0D, 0.0D, 1.0D, 0.0D, 0.0D, 0.0D, 1.0D) as r", "array(0.3D, cast(id as double), 0.0D) as p")
+    points = frames.selectExpr("traj_id", "frame_id", "explode(sequence(0, 5)) as k").selectExpr("traj_id", "frame_id", "cast(k as long) as pid", "0 as road_class", "cast(if(k % 2 = 0, -2, 2) as double) as x", "2.0D + k as y", "0.0D as z", "0.1D as sigma")
+    for window in (16, 1000):
+        got = localize.localize(frames, points, lanes, prior=False, rounds=2, window=window, overlap=6).collect()
+        assert len(got) == n and max(abs(r.p[0]) for r in got) < 1e-3 and max(abs(r.p[1] - r.frame_id) for r in got) < 0.05

@@ -165,3 +165,35 @@ def test_localize_window_solves_every_pose(spark, sf_dir):
     ids = [r.event_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect()]
     assert sorted(r.pose_id for r in got) == sorted(ids)
     assert max(r.error for r in got) < 0.01
+
+
+def test_boxes_of_any_length_meet(spark):
+    """Guide boxes far longer than the grid's cells overlap at their ends, once a pair."""
+    rows = [(1, 2, 0.0, 0.0, 60.0, 1.0, 0.0), (2, 2, 45.0, 0.0, 60.0, 1.0, 0.0), (3, 2, 0.0, 500.0, 900.0, 1.0, 90.0), (4, 2, 0.0, 949.0, 3.0, 2.0, 0.0), (5, 2, 5.0, 600.0, 4.0, 1.0, 0.0), (6, 2, 20.0, 9.0, 4.0, 50.0, 10.0)]
+    df = spark.createDataFrame([(*r, False) for r in rows], "id long, road_class int, x double, y double, h double, w double, yaw_deg double, frozen boolean")
+    got = sorted((r.id, r.b_id) for r in joins.rectangle_pairs(df, ["road_class"], 20.0).collect())
+    assert got == [(1, 2), (1, 6), (2, 6), (3, 4)]
+
+
+def test_merged_boxes_name_their_best_member(spark):
+    cols = "id long, road_class int, x double, y double, h double, w double, yaw_deg double, sigma0 double, sigma1 double, sigma2 double, sigma3 double, percept_distance double, frozen boolean, merged boolean"
+    box = lambda i, cls, x, h, w, far: (i, cls, x, 0.0, h, w, 0.0, 0.1, 0.1, 0.1, 0.1, far, False, False)
+    rows = [box(1, 1, 0.0, 4.0, 0.2, 9.0), box(2, 1, 0.1, 4.0, 0.2, 3.0), box(3, 1, 0.1, 2.0, 0.2, 1.0), box(4, 2, 50.0, 1.0, 0.5, 2.0), box(5, 2, 50.1, 1.0, 0.5, 2.0), box(6, 2, 90.0, 4.0, 2.0, 2.0), box(7, 2, 90.1, 4.0, 2.0, 5.0)]
+    got = {r.cluster: r for r in mapping.merge_boxes(spark.createDataFrame(rows, cols), 1, None).collect()}
+    assert set(got) == {1, 6}, "the small guide box is dropped"
+    assert got[1].best_id == 2 and got[1].percept_distance == 3.0 and got[6].best_id == 6 and got[6].road_class == 2
+
+
+def test_lines_freeze_without_a_vehicle(spark):
+    df = spark.createDataFrame([(1, 0, 5.0, 5.0, 3, False), (2, 1, 5.0, 5.0, 0, False), (3, 4, 5.0, 5.0, 3, False)], "id long, road_class int, x double, y double, vertices int, frozen boolean")
+    for vehicle in (None, (0.0, 0.0, 30.0)):
+        assert {r.id: r.frozen for r in mapping.freeze_flags(df, vehicle).collect()} == {1: True, 2: False, 3: True}
+    assert not any(r.frozen for r in mapping.freeze_flags(df, (1.0, 1.0, 0.0)).collect())
+
+
+def test_matching_is_in_space(spark):
+    q = spark.createDataFrame([(1, 1, 0.0, 0.0, 2.0, 3.0, 0.2)], "qid long, road_class int, x double, y double, z double, h double, w double")
+    t = spark.createDataFrame([(7, 1, 0.5, 0.0, 9.0, 3.0, 0.2), (8, 1, 3.0, 0.0, 2.0, 3.0, 0.2)], "id long, road_class int, x double, y double, z double, h double, w double")
+    r = mapping.match(q, t).first()
+    assert r.id == 8 and abs(r.distance - 3.0) < 1e-12, "the nearest from height 0, measured from the instance's own"
+    assert mapping.match(q, t, strict=1.0).collect() == []
