@@ -67,13 +67,48 @@ def knots_of(low: float, high: float) -> np.ndarray:
     return np.concatenate((inner, [high])) if len(inner) else np.array([low, high])
 
 
+def solve_banded(diagonal: np.ndarray, first: np.ndarray, second: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """x of A x = ``rhs`` (n, k) for a positive definite A with two bands beside its diagonal, by its factors L D L^T."""
+    n = len(diagonal)
+    d, e, f = diagonal.tolist(), [0.0, *first.tolist()], [0.0, 0.0, *second.tolist()]
+    x = rhs.copy()
+    for i in range(1, n):
+        if i > 1:
+            e[i] -= f[i] * e[i - 1]
+            far, f[i] = f[i], f[i] / d[i - 2]
+            d[i] -= far * f[i]
+            x[i] -= f[i] * x[i - 2]
+        near, e[i] = e[i], e[i] / d[i - 1]
+        d[i] -= near * e[i]
+        x[i] -= e[i] * x[i - 1]
+    x /= np.array(d)[:, None]
+    for i in range(n - 2, -1, -1):
+        x[i] -= e[i + 1] * x[i + 1]
+        if i + 2 < n:
+            x[i] -= f[i + 2] * x[i + 2]
+    return x
+
+
+def inverse_diagonal(diagonal: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Diagonal of the inverse of a positive definite tridiagonal matrix, by eliminating from both ends."""
+    n = len(diagonal)
+    down, up = diagonal.tolist(), diagonal.tolist()
+    b2 = (beside * beside).tolist()
+    for i in range(1, n):
+        down[i] -= b2[i - 1] / down[i - 1]
+    for i in range(n - 2, -1, -1):
+        up[i] -= b2[i] / up[i + 1]
+    return 1 / (np.array(down) + np.array(up) - diagonal)
+
+
 def fuse_lines(points: np.ndarray, sigma: np.ndarray, forward: np.ndarray, smooth: float, trim: float = 0.35) -> tuple[np.ndarray, np.ndarray]:
     """One polyline (n, 3) and the variances (n, 2) of its knots from the vertices of a cluster of lines.
 
     Vertices are turned to their main direction, agreeing with ``forward``,
     about the first; height over each knot is the weighted least-squares fit
     of linear interpolation with second-difference smoothness of variance
-    ``smooth``.  The system is linear: one solve.  Knots from the middle on
+    ``smooth``.  The system is linear and banded: one solve, whose time and
+    memory grow with the length of the line alone.  Knots from the middle on
     are cut at the first whose variance exceeds ``trim``; three or fewer left
     is no line.
     """
@@ -90,20 +125,16 @@ def fuse_lines(points: np.ndarray, sigma: np.ndarray, forward: np.ndarray, smoot
     at = np.clip(np.searchsorted(knots, local[:, 0], side="right") - 1, 0, n - 2)
     share = (local[:, 0] - knots[at]) / (knots[at + 1] - knots[at])
     weight = 1 / sigma**2
-    info = np.zeros((n, n))
-    np.add.at(info, (at, at), weight * (1 - share) ** 2)
-    np.add.at(info, (at, at + 1), weight * share * (1 - share))
-    np.add.at(info, (at + 1, at), weight * share * (1 - share))
-    np.add.at(info, (at + 1, at + 1), weight * share**2)
-    whole = info.copy()
-    for i in range(1, n - 1):
-        s = np.array([1.0, -2.0, 1.0])
-        whole[i - 1 : i + 2, i - 1 : i + 2] += np.outer(s, s) / smooth
-    rhs = np.zeros((n, 2))
-    np.add.at(rhs, at, (weight * (1 - share))[:, None] * local[:, 1:])
-    np.add.at(rhs, at + 1, (weight * share)[:, None] * local[:, 1:])
-    fit = np.linalg.solve(whole + 1e-9 * np.eye(n), rhs)
-    var = np.diag(np.linalg.inv(info + 1e-5 * np.eye(n)))
+    own = np.bincount(at, weight * (1 - share) ** 2, n) + np.bincount(at + 1, weight * share**2, n)
+    beside = np.bincount(at, weight * share * (1 - share), n)[: n - 1]
+    rhs = np.column_stack([np.bincount(at, weight * (1 - share) * c, n) + np.bincount(at + 1, weight * share * c, n) for c in local[:, 1:].T])
+    whole, first, second = own + 1e-9, beside.copy(), np.full(max(n - 2, 0), 1 / smooth)
+    for k, c in enumerate((1.0, 4.0, 1.0)):
+        whole[k : n - 2 + k] += c / smooth
+    for k in (0, 1):
+        first[k : n - 2 + k] -= 2 / smooth
+    fit = solve_banded(whole, first, second, rhs)
+    var = inverse_diagonal(own + 1e-5, beside)
     stop = next((i for i in range(n // 2, n) if var[i] > trim), n)
     line = (np.column_stack((knots, fit))[:stop]) @ turn + origin
     if stop <= 3 or np.isnan(line).any():

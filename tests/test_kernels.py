@@ -67,6 +67,53 @@ def test_noisy_sine_is_fused():
     assert (np.diff(back[:, 0]) < 0).all(), "the line runs the way it is told"
 
 
+def test_banded_systems_against_dense_ones():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 4, 30):
+        one, two = rng.normal(size=max(n - 1, 0)), rng.normal(size=max(n - 2, 0))
+        own = 8 + rng.random(n)
+        a = np.diag(own) + sum(np.diag(b, k) for b, k in ((one, 1), (one, -1)) if n > 1) + sum(np.diag(b, k) for b, k in ((two, 2), (two, -2)) if n > 2)
+        rhs = rng.normal(size=(n, 2))
+        assert np.allclose(kernels.solve_banded(own, one, two, rhs), np.linalg.solve(a, rhs))
+        tri = np.diag(own) + sum(np.diag(b, k) for b, k in ((one, 1), (one, -1)) if n > 1)
+        assert np.allclose(kernels.inverse_diagonal(own, one), np.diag(np.linalg.inv(tri)))
+
+
+def test_lines_are_fused_as_by_the_dense_system():
+    rng = np.random.default_rng(6)
+    for length in (0.8, 1.7, 2.5, 25.0):
+        x = np.sort(rng.uniform(0, length, 80))
+        x[[0, -1]] = 0, length
+        pts, sigma = np.column_stack((x, np.zeros(80), rng.normal(0, 0.1, 80))), rng.uniform(0.05, 0.3, 80)
+        line, var = kernels.fuse_lines(pts, sigma, np.array([1.0, 0]), 0.04, trim=np.inf)
+        mean = pts.mean(0)
+        axis = np.linalg.eigh(np.cov((pts - mean).T, bias=True))[1][:2, 2]
+        axis = axis / np.linalg.norm(axis) * (1 if axis[0] > 0 else -1)
+        turn = np.array([[axis[0], axis[1], 0], [-axis[1], axis[0], 0], [0, 0, 1.0]])
+        q = (pts - pts[0]) @ turn.T
+        knots = kernels.knots_of(q[:, 0].min(), q[:, 0].max())
+        n = len(knots)
+        j = np.zeros((80, n))
+        for r, v in enumerate(q[:, 0]):
+            k = min(max(int(np.searchsorted(knots, v, side="right")) - 1, 0), n - 2)
+            j[r, k + 1] = (v - knots[k]) / (knots[k + 1] - knots[k])
+            j[r, k] = 1 - j[r, k + 1]
+        info = j.T @ (j / sigma[:, None] ** 2)
+        bend = np.array([np.convolve(np.eye(n)[i], [1, -2, 1], "same") for i in range(1, n - 1)]).reshape(-1, n)
+        fit = np.linalg.solve(info + bend.T @ bend / 0.04 + 1e-9 * np.eye(n), j.T @ (q[:, 1:] / sigma[:, None] ** 2))
+        if n > 3:
+            assert np.allclose(line, np.column_stack((knots, fit)) @ turn + pts[0], atol=1e-7)
+            assert np.allclose(var[:, 0], np.diag(np.linalg.inv(info + 1e-5 * np.eye(n))))
+        else:
+            assert not len(line)
+
+
+def test_a_line_of_many_kilometres_is_fused():
+    x = np.arange(0, 40_000, 0.5)
+    line, var = kernels.fuse_lines(np.column_stack((x, np.sin(x / 500), 0 * x)), np.full(len(x), 0.1), np.array([1.0, 0]), 0.04)
+    assert len(line) > 39_990 and (var < 0.35).all()
+
+
 def test_window_is_solved_from_lines_and_odometry():
     rng = np.random.default_rng(4)
     true_r = [kernels.rotation_of(np.array([0, 0, 0.02 * i])) for i in range(30)]
