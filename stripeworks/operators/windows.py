@@ -6,6 +6,8 @@ step depends on what the last one decided.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 import numpy as np
@@ -37,7 +39,8 @@ class SlopeState:
         """(pitch and roll less their mean, whether a jump was found, frames held) after taking one frame, in degrees."""
         self.history = [*self.history, (pitch, roll)][-self.window :]
         n = len(self.history)
-        mean = [sum(h[i] for h in self.history) / n for i in (0, 1)]
+        # Added up in turn: the built-in sum makes up for rounding, and means that lie on the threshold would differ.
+        mean = [functools.reduce(operator.add, (h[i] for h in self.history)) / n for i in (0, 1)]
         jump = abs(mean[0] - self.last) > self.threshold / self.window and n > 5
         if jump:
             self.history, self.last = [(pitch, roll)], pitch

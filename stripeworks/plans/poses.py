@@ -210,13 +210,28 @@ def attitude_smooth(spark, sf_dir):
     return w.select("seq_id", "pose_id", r6("mean_pitch_deg").alias("mean_pitch"), r6("mean_roll_deg").alias("mean_roll"), r6("diff_pitch_deg").alias("diff_pitch"))
 
 
-@query()
+# Frame by frame: ``ph`` and ``rh`` are the attitudes held, ``last`` the mean to compare with.
+SLOPE = f"""p as (select *, row_number() over (partition by seq_id order by t_us, pose_id) as rn from ({POSE})),
+k as (select distinct seq_id, 0::bigint as pose_id, 0::bigint as rn, []::double[] as ph, []::double[] as rh, 0.0::double as last, 0.0::double as dp, 0.0::double as dr, false as jump from p
+      union all
+      select seq_id, pose_id, rn, case when j then [pitch] else ph end, case when j then [roll] else rh end, case when j then pitch else mp end, pitch - mp, roll - mr, j
+      from (select *, abs(mp - last) > 0.15::double and len(ph) > 5 as j from (select *, list_sum(ph) / len(ph) as mp, list_sum(rh) / len(rh) as mr from (
+        select k.seq_id, p.pose_id, p.rn, p.pitch_deg as pitch, p.roll_deg as roll, k.last, list_append(k.ph, p.pitch_deg)[-20:] as ph, list_append(k.rh, p.roll_deg)[-20:] as rh
+        from k join p on p.seq_id = k.seq_id and p.rn = k.rn + 1))))"""
+SLOPE_ROWS = f"with recursive {SLOPE} select seq_id, pose_id, {d6('dp', 'diff_pitch')}, {d6('dr', 'diff_roll')}, jump, len(ph)::int as held from k where rn > 0"
+
+
+@query(SLOPE_ROWS)
 def slope_reset(spark, sf_dir):
     out = windows.slope_reset(frame(spark, sf_dir, "pose"), 20, 3.0)
     return out.select("seq_id", "pose_id", r6("diff_pitch").alias("diff_pitch"), r6("diff_roll").alias("diff_roll"), "jump", "held")
 
 
-@query()
+@query(
+    f"""with recursive {SLOPE}, found as (select p.seq_id, p.rn as j, p.x as jx, p.y as jy from k join p using (seq_id, rn) where k.jump),
+m as (select p.seq_id, p.pose_id, found.j, cos(radians(yaw_deg)) as c, sin(radians(yaw_deg)) as s, jx - x as dx, jy - y as dy from found join p on p.seq_id = found.seq_id and p.rn between found.j - 20 and found.j - 1)
+select seq_id, pose_id as frame, {d6('arg_min(c*dy - s*dx, j)', 'distance')} from m where c*dy - s*dx < 13.5 and c*dx + s*dy < 5 group by 1, 2"""
+)
 def slope_ignored_frames(spark, sf_dir):
     poses = frame(spark, sf_dir, "pose")
     jumps = windows.slope_reset(poses, 20, 3.0).filter("jump")
