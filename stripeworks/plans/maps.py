@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import markings
-from ..operators import aggregates, joins, kernels, localize, mapping
+from ..operators import aggregates, joins, kernels, localize, mapper, mapping
 from ..operators.grouped import Group, by_group
 from ..schema import PipelineConfig
 from . import d6, query, r6
@@ -257,6 +257,18 @@ def nearest_neighbours(spark, sf_dir):
     return k.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("id", "b_id", "rank")
 
 
+@query()
+def map_build(spark, sf_dir):
+    """The whole mapping run over all sightings and lines, merged twice on the way: middles of boxes (vtx -1) and vertices of lines."""
+    boxes = frame(spark, sf_dir, "inst").filter("road_class in (1, 2)").select("frame_id", *mapper.BOX)
+    lines = frame(spark, sf_dir, "line_vtx").selectExpr("line_id div 20 as frame_id", "line_id", "0 as road_class", "vtx", "x", "y", "z", "sigma")
+    old = _frames(spark, sf_dir)
+    new = old.selectExpr("frame_id", "px + 100 as px", "py - 50 as py", "c*0.8D - s*0.6D as c", "s*0.8D + c*0.6D as s")
+    b, v = mapper.build(boxes, lines, old, new, PipelineConfig(mapping_step=old.count() // 2 + 1))
+    at = lambda c: F.round(c, 3).alias(c)
+    return b.select("road_class", "id", F.lit(-1).alias("vtx"), at("x"), at("y")).unionByName(v.select("road_class", F.col("line_id").alias("id"), "vtx", at("x"), at("y")))
+
+
 WINDOW_POSES = 8
 
 
