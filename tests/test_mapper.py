@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from stripeworks.operators import mapper
-from stripeworks.schema import PipelineConfig
+from stripeworks.operators import extract, mapper
+from stripeworks.schema import CameraConfig, PipelineConfig
 
 CFG = PipelineConfig(mapping_step=20, freeze_line_length=15)
 
@@ -49,3 +49,22 @@ def test_no_sightings_no_map(spark):
     b, v, poses = drive(spark)
     boxes, lines = mapper.build(b.limit(0), v.limit(0), poses.limit(1), cfg=CFG)
     assert boxes.count() == 0 and lines.count() == 0
+
+
+def test_rows_of_extracted_instances(spark):
+    """A raster with a dash and a solid line, seen from (10, 20): box and vertices lie where the pixels say."""
+    cam = CameraConfig(height=200, width=100, resolution=0.1, h=1.5, intrinsics={"fx": 900.0, "fy": 900.0})
+    cfg = PipelineConfig(min_patch_size=20)
+    mask = np.zeros((200, 100), np.uint8)
+    mask[60:195, 20:23], mask[100:140, 50:54] = 1, 2
+    frames = spark.createDataFrame([(7, 200, 100, bytearray(mask.tobytes()))], "frame_id long, height int, width int, data binary")
+    pose = spark.createDataFrame([(7, ([1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [10.0, 20.0, 0.0]))], "frame_id long, pose struct<r:array<double>,t:array<double>>")
+    world = extract.to_world(extract.to_body(extract.extract(frames, cfg, cam), cfg, cam), pose)
+    (box,) = mapper.boxes_of(world).collect()
+    assert (box.x, box.y, box.h, box.w, box.yaw_deg) == tuple(pytest.approx(v, abs=1e-6) for v in (10.15, 27.95, 3.9, 0.3, 90.0)) and box.id // 4096 == 7
+    assert box.sigma2 > box.sigma0 > 0, "the far edge is less certain"
+    rows = mapper.vertices_of(world, cam).orderBy("vtx").collect()
+    assert len({r.line_id for r in rows}) == 1 and [r.vtx for r in rows] == list(range(len(rows))) and len(rows) > 15
+    assert all(r.x == pytest.approx(10 - 2.9, abs=0.05) for r in rows)
+    near = min(rows, key=lambda r: r.y)
+    assert all(r.sigma >= near.sigma > 0 for r in rows)
