@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, linear, rotation
+from ..storage import cut
 
 #: Columns of the formats by position; a number stands for so many ignored.
 VIO = ("t", "x", "y", "z", "vx", "vy", "vz", "pitch", "roll", "yaw")
@@ -134,6 +135,19 @@ def result_poses(lines: DataFrame, start: float | None = None, end: float | None
 
 
 def image_batches(spark: SparkSession, path: str, size: int = 10) -> DataFrame:
-    """The images below ``path``, by name, numbered in batches: ``path, batch``.  Only the listing is ordered, not the images."""
+    """The images below ``path``, by name, numbered in batches: ``path, batch``.
+
+    The listing is numbered by ranges of names, each for itself and shifted
+    by the counts before it; of it only one count a range comes to the driver.
+    """
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    return names.withColumn("batch", F.expr(f"(row_number() over (order by path) - 1) div {int(size)}"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = names.repartitionByRange(parts, "path").sortWithinPartitions("path")
+    placed = cut(ranged.withColumn("at", F.monotonically_increasing_id()), "images")
+    part, within = F.shiftright("at", 33).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r.p: r.n for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = [0]
+    for p in range(max(counts, default=0)):
+        before.append(before[-1] + counts.get(p, 0))
+    number = F.array(*[F.lit(n).cast("long") for n in before])[part] + within
+    return placed.select("path", F.floor(number / int(size)).alias("batch"))

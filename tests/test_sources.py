@@ -157,3 +157,14 @@ def test_virtual_pinhole_of_a_pinhole_is_itself(spark):
     p = {"model_type": "pinhole", "image_width": 101, "image_height": 81, "fx": 100.0, "fy": 90.0, "cx": 49.0, "cy": 41.0, "k1": 0.0, "k2": 0.0, "p1": 0.0, "p2": 0.0}
     v = camera.virtual_pinhole(spark, p)
     assert all(v[k] == pytest.approx(p[k]) for k in ("fx", "fy", "cx", "cy"))
+
+
+def test_images_are_numbered_in_the_order_of_their_names(spark, tmp_path):
+    for i in range(23):
+        folder = tmp_path / "many" / f"d{i % 3}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i:03d}.png").write_bytes(b"x")
+    got = {r.path: r.batch for r in text.image_batches(spark, str(tmp_path / "many"), 5).collect()}
+    assert [got[p] for p in sorted(got)] == [i // 5 for i in range(23)]
+    (tmp_path / "none").mkdir()
+    assert text.image_batches(spark, str(tmp_path / "none")).count() == 0
