@@ -205,6 +205,16 @@ def ground_normal(r: Mat) -> Vec:
     return -r[1], -r[4], -r[7]
 
 
+def rotation_from_normal(n: Vec) -> Mat:
+    """The least rotation that takes the ground's normal ``n``, of any length, to (0, -1, 0); straight down it is half a turn about x."""
+    size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
+    x, y, z = (v / size for v in n)
+    k = 1 / F.nullif(1 - y, F.lit(0.0))
+    turn = [1 - x * x * k, x, -x * z * k, -x, -y, -z, -x * z * k, z, 1 - z * z * k]
+    half = (1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, -1.0)
+    return [F.coalesce(v, F.when(n[1] > 0, F.lit(h))) for v, h in zip(turn, half)]
+
+
 def ground_angles(r: Mat) -> Point2:
     """(alpha, theta) of a rotation."""
     return F.atan2(r[3], r[0]), F.atan2(r[7], r[8])

@@ -52,3 +52,8 @@ def rotate_cov(r: Mat, cov: Mat) -> Mat:
 
 def literal(values) -> list[Column]:
     return [F.lit(float(v)) for v in values]
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is named; folding projections can't copy it."""
+    return F.transform(F.array(value), body)[0]

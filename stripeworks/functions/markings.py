@@ -136,6 +136,34 @@ def raster_circle(cx: Column, cy: Column, radius: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.concat(row(s, 1), row(s, -1)))))
 
 
+def ramp_colour(i: Column, name: str = "jet") -> Column:
+    """Red, green, blue (0 to 1) of step 0..127 of a ramp: ``jet`` from blue to red, ``autumn`` from red to yellow."""
+    if name == "autumn":
+        return F.array(F.lit(1.0), i / 127, F.lit(0.0))
+    if name != "jet":
+        raise ValueError(f"no ramp {name!r}: jet, autumn")
+    v = (i + 1) / 32
+    tent = lambda middle: clamp(1.5 - F.abs(v - middle), 0.0, 1.0)
+    return F.array(tent(3.0), tent(2.0), tent(1.0))
+
+
 def depth_colour(depth: Column, low: float, high: float) -> Column:
-    """Position 0..127 on a colour ramp, near first."""
-    return F.floor(clamp((depth - low) / (high - low), 0.0, 1.0) * 127).cast("int")
+    """Blue, green, red (0 to 255) of a depth, red being near; zero is no depth and black."""
+    i = 127 - (clamp((depth - low) / (high - low), 0.0, 1.0) * 127).cast("int")
+    rgb = ramp_colour(i)
+    seen = F.array(*[F.floor(rgb[k] * 255).cast("int") for k in (2, 1, 0)])
+    return F.when(depth == 0, F.array(*[F.lit(0)] * 3)).otherwise(seen)
+
+
+def error_colour(error: Column) -> Column:
+    """Red, green, blue of a vertex by its horizontal sigma: green to yellow up to half a metre, then yellow to red; not clamped.
+
+    The upper branch counts from one metre, as stored drawings have it, so it starts beyond yellow.
+    """
+    far, near = (error - 1) / 0.5, (error - 0.1) / 0.4
+    return F.when(error > 0.5, F.array(F.lit(1.0), 1 - far, F.lit(0.0))).otherwise(F.array(near, F.lit(1.0), F.lit(0.0)))
+
+
+def clock_difference(later: Column, earlier: Column) -> Column:
+    """Seconds between two timestamps, to the microsecond."""
+    return (F.unix_micros(later) - F.unix_micros(earlier)) / 1e6

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markings
 from ..schema import RoadClass
 from ..storage import cut, discard
 from . import joins, kernels
@@ -222,3 +223,40 @@ def primitives(boxes: DataFrame) -> DataFrame:
     edges = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(i.alias("edge"), ring[i].alias("a"), ring[i + 1].alias("b")))
     e = boxes.withColumn("__r", red).withColumn("__e", F.explode(edges))
     return e.select("id", "road_class", F.col("__e.edge").alias("edge"), F.col("__e.a.x").alias("x0"), F.col("__e.a.y").alias("y0"), F.col("__e.b.x").alias("x1"), F.col("__e.b.y").alias("y1"), F.col("__r").alias("red"), (1 - F.col("__r")).alias("green"))
+
+
+#: The colours of boxes, and the vehicle's height, length and width.
+DASHED_COLOUR, OTHER_COLOUR, VEHICLE = (160 / 255, 160 / 255, 0.0), (0.0, 0.0, 160 / 255), (1.753, 1.849, 4.690)
+
+
+def drawing(instances: DataFrame) -> DataFrame:
+    """The stored map as polylines: ``id, road_class, points, colours`` (red, green, blue of each point).
+
+    Only what may enter the map is drawn.  Lines are coloured by the sigma
+    of each vertex, stop lines red; the rest by its four corners.  A line of
+    another class, or of fewer than two points, has nothing to draw.
+    """
+    rgb = lambda c: F.array(*[F.lit(v) for v in c])
+    solid, dashed = F.col("road_class") == RoadClass.SOLID.value, F.col("road_class") == RoadClass.DASHED.value
+    by_vertex = F.transform("line_cov", lambda c: markings.error_colour(F.sqrt(c[0] + c[4])))
+    line = F.when(solid, by_vertex).when(F.col("road_class") == RoadClass.STOP.value, F.transform("line", lambda _: rgb((1.0, 0.0, 0.0))))
+    box = F.transform("box", lambda _: F.when(dashed, rgb(DASHED_COLOUR)).otherwise(rgb(OTHER_COLOUR)))
+    out = instances.filter("valid_add_to_map").select(
+        "id", "road_class", F.when(F.col("line_valid"), F.col("line")).otherwise(F.col("box")).alias("points"), F.when(F.col("line_valid"), line).otherwise(box).alias("colours")
+    )
+    return out.filter("colours is not null and size(points) >= 2")
+
+
+def vehicles(poses: DataFrame) -> DataFrame:
+    """Each pose as a black box of the vehicle's size: ``traj_id, t, centre, r, height, length, width, colour``."""
+    return poses.select("traj_id", "t", F.col("pose.t").alias("centre"), F.col("pose.r").alias("r"), *_solid(VEHICLE, (0.0, 0.0, 0.0)))
+
+
+def markers(points: DataFrame, keys: Sequence[str], colour: tuple[float, float, float], size: float = 0.3) -> DataFrame:
+    """Points (x, y, z) as upright cubes."""
+    level = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)])
+    return points.select(*keys, F.array("x", "y", "z").alias("centre"), level.alias("r"), *_solid((size,) * 3, colour))
+
+
+def _solid(size: tuple, colour: tuple) -> list[Column]:
+    return [*[F.lit(v).alias(n) for v, n in zip(size, ("height", "length", "width"))], F.array(*[F.lit(v) for v in colour]).alias("colour")]

@@ -36,4 +36,4 @@ def d6(expression: str, name: str) -> str:
 
 
 def load() -> None:
-    from . import flows, lines, maps, pixels, poses  # noqa: F401
+    from . import flows, lines, maps, pixels, poses, records  # noqa: F401

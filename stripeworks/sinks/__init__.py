@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, linear, rotation
@@ -14,16 +14,22 @@ def pose_lines(poses: DataFrame, ref: tuple[float, float, float]) -> DataFrame:
     ``poses`` has t and the struct ``pose`` in the frame at ``ref``.
     """
     here = linear.literal(ref)
-    r0 = geodesy.enu_rotation_at(tuple(here))
-    d = poses.withColumn("__r0", F.array(*r0))
-    m0, r, t = linear.mat(F.col("__r0")), linear.mat(F.col("pose.r")), [F.col("pose.t")[i] for i in range(3)]
-    xyz = [a + b for a, b in zip(linear.apply(linear.transpose(m0), tuple(t)), here)]
-    d = d.withColumn("__x", F.array(*xyz))
-    x = [F.col("__x")[i] for i in range(3)]
-    d = d.withColumn("__r1", F.array(*geodesy.enu_rotation(geodesy.geodetic_latitude(*x), F.atan2(x[1], x[0]))))
-    d = d.withColumn("__r", F.array(*linear.mul(linear.mul(linear.mat(F.col("__r1")), linear.transpose(m0)), r)))
-    d = d.withColumn("__q", F.array(*rotation.matrix_to_quaternion(linear.mat(F.col("__r")))))
-    return d.select("t", F.format_string("%.3f %.3f %.3f %.3f %.10f %.10f %.10f %.10f", F.col("t"), *x, *[F.col("__q")[i] for i in range(4)]).alias("value"))
+    r0 = F.array(*geodesy.enu_rotation_at(tuple(here)))
+
+    def ecef(m: Column, pose: Column) -> Column:
+        local = tuple(pose["t"][i] for i in range(3))
+        return F.array(*[a + b for a, b in zip(linear.apply(linear.transpose(linear.mat(m)), local), here)])
+
+    def attitude(m: Column, x: Column, pose: Column) -> Column:
+        at = tuple(x[i] for i in range(3))
+        turn = linear.let(F.array(*geodesy.enu_rotation(geodesy.geodetic_latitude(*at), F.atan2(at[1], at[0]))), lambda r1: F.array(*linear.mul(linear.mat(r1), linear.transpose(linear.mat(m)))))
+        local = linear.let(turn, lambda k: F.array(*linear.mul(linear.mat(k), linear.mat(pose["r"]))))
+        return linear.let(local, lambda r: F.array(*rotation.matrix_to_quaternion(linear.mat(r))))
+
+    form = "%.3f %.3f %.3f %.3f %.10f %.10f %.10f %.10f"
+    line = lambda pose, x, q: F.format_string(form, F.col("t"), *[x[i] for i in range(3)], *[q[i] for i in range(4)])
+    value = linear.let(r0, lambda m: linear.let(F.col("pose"), lambda pose: linear.let(ecef(m, pose), lambda x: linear.let(attitude(m, x, pose), lambda q: line(pose, x, q)))))
+    return poses.select("t", value.alias("value"))
 
 
 def write_poses(poses: DataFrame, ref: tuple[float, float, float], path: str) -> None:
