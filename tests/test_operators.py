@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,39 @@ def test_matching_is_in_space(spark):
     r = mapping.match(q, t).first()
     assert r.id == 8 and abs(r.distance - 3.0) < 1e-12, "the nearest from height 0, measured from the instance's own"
     assert mapping.match(q, t, strict=1.0).collect() == []
+
+
+def test_ground_rotation_of_any_normal(spark):
+    from stripeworks.functions import camera
+
+    normals = [(0.0, -1.0, 0.0), (0.0, 2.0, 0.0), (0.1, -0.9, 0.3), (-3.0, 0.5, 0.2)]
+    for n in normals:
+        m = camera.rotation_from_normal(tuple(F.lit(v) for v in n))
+        r = np.array(spark.range(1).select(F.array(*m).alias("m")).first().m).reshape(3, 3)
+        np.testing.assert_allclose(r @ r.T, np.eye(3), atol=1e-12)
+        np.testing.assert_allclose(np.linalg.det(r), 1.0)
+        np.testing.assert_allclose(r @ n / np.linalg.norm(n), (0, -1, 0), atol=1e-12)
+
+
+def test_ramps_and_depths(spark):
+    from stripeworks.functions import markings
+
+    rows = spark.range(128).select(markings.ramp_colour(F.col("id")).alias("jet"), markings.ramp_colour(F.col("id"), "autumn").alias("autumn")).collect()
+    assert rows[0].jet == [0, 0, 0.53125] and rows[16].jet == [0, 0.03125, 1] and rows[80].jet == [1, 0.96875, 0] and rows[127].jet == [0.5, 0, 0]
+    assert rows[0].autumn == [1, 0, 0] and rows[127].autumn == [1, 1, 0]
+    d = spark.createDataFrame([(0.0,), (5.0,), (99.0,)], "d double").select(markings.depth_colour(F.col("d"), 5.0, 50.0).alias("c")).collect()
+    assert [r.c for r in d] == [[0, 0, 0], [0, 0, 127], [135, 0, 0]]
+
+
+def test_drawing_leaves_out_what_has_no_shape(spark):
+    from stripeworks.operators import mapping
+    from stripeworks.schema import INSTANCE
+
+    p, cov = {"x": 1.0, "y": 2.0, "z": 0.0}, [0.02, 0.0, 0.0, 0.0, 0.14, 0.0, 0.0, 0.0, 0.0]
+    row = lambda i, cls, line, n, ok=True: (i, cls, line, False, False, ok, p, [p] * 4, [0.1] * 4, [p] * n, cov, [cov] * n, 1.0)
+    rows = [row(0, 0, True, 3), row(1, 0, True, 1), row(2, 4, True, 2), row(3, 3, True, 5), row(4, 1, False, 0), row(5, 2, False, 0), row(6, 1, False, 0, False)]
+    out = {r.id: r for r in mapping.drawing(spark.createDataFrame(rows, INSTANCE)).collect()}
+    assert sorted(out) == [0, 2, 4, 5]
+    np.testing.assert_allclose(out[0].colours, [[0.75, 1.0, 0.0]] * 3)
+    assert out[2].colours == [[1.0, 0.0, 0.0]] * 2 and len(out[4].points) == 4
+    assert out[4].colours[0] == list(mapping.DASHED_COLOUR) and out[5].colours[0] == list(mapping.OTHER_COLOUR)
