@@ -463,6 +463,32 @@ def test_crowded_buckets(spark, monkeypatch):
     assert all(got[61 + 2 * k] == got[62 + 2 * k] for k in range(30))
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """A text that hangs on a copy of a head, not on the head, is in its group; so is what only a crowded shingle or no band brings together."""
+    from stripeworks.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "ALL_PAIRS_UP_TO", 4)
+    monkeypatch.setattr(near_copies, "HEADS", 1)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [" ".join(base)] + [_edited(rng, base, 2) for _ in range(40)]
+    for _ in range(25):  # chains that lead away from the original
+        near = _edited(rng, base, 3)
+        texts += [near, _edited(rng, near.split(), 3)]
+    texts += [_edited(rng, base, 7) for _ in range(40)] + ["", " ", "a", "A", "a b c d e f", "a b c d e f g"]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[at]) for i, at in enumerate(order)], "doc_id long, text string")
+    near = [(i, j) for i, a in enumerate(order) for j, b in enumerate(order) if i < j and _jaccard(texts[a].lower(), texts[b].lower()) >= 0.8]
+    part = _parts(len(texts), near)
+    for bands, up_to in ((True, 64), (False, 2)):
+        monkeypatch.setattr(near_copies, "RARE_PAIRS_UP_TO", up_to)
+        if not bands:  # each text has bands and a fingerprint of its own: all rests on the filed shingles
+            monkeypatch.setattr(near_copies, "bands", lambda s: [int(x) for x in s.view(np.int64)[-1:]])
+        groups = near_copies.groups(docs).join(docs.select(F.col("doc_id").alias("i"), near_copies.text_hash().alias("v")), "v")
+        assert {r.i: r.f for r in groups.select("i", F.col("first.id").alias("f")).collect()} == dict(enumerate(part)), (bands, up_to)
+
+
 def test_keys_of_near_copies(spark):
     """Bands meet as often as independent rows would."""
     from stripeworks.llm import near_copies
