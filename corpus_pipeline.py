@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stripeworks.llm import line_dedup, mixing, near_copies, packing, quality_rules
-from stripeworks.llm.common import cut
+from stripeworks.llm.common import bits_of, cut, with_bit
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,17 +26,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     same id and text the one with the least language and source stays.
     """
     first = near_copies.groups(docs).select("first").distinct()
-    firsts = first.select(F.when(~F.col("first.z"), F.col("first.id")).alias("__id"), F.col("first.v").alias("__v"))
+    firsts = first.select(F.when(~F.col("first.z"), F.col("first.id")).alias("__id"), F.col("first.v").alias("__v"), F.lit(True).alias("__first"))
     marked = docs.withColumn("__v0", near_copies.text_hash())
-    kept = cut(marked.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__v0") == F.col("__v")), "left_semi"), "first-of-group")
-    again = kept.groupBy("doc_id", "__v0").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("__v0").alias("__v"))
-    if again.isEmpty():
-        return kept.select(docs.columns)
-    hit = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__v0") == F.col("__v"))
+    counts = marked.groupBy(F.col("doc_id").alias("__id0"), "__v0").agg(F.count(F.lit(1)).alias("__n"))
+    known = counts.join(firsts, F.col("__id0").eqNullSafe(F.col("__id")) & (F.col("__v0") == F.col("__v")), "left")
+    # Of these keys (id and text) some rows go.  Those of all other keys stay, and most of them need no join.
+    some = known.filter("__first is null or __n > 1").select(F.col("__id0").alias("__id"), F.col("__v0").alias("__v"), F.col("__first").isNotNull().alias("__first"))
+    odd = cut(some, "some-rows-go")
+    bit = with_bit(marked, bits_of(odd, "__v", "__id"), "__v0", "doc_id")
+    met = bit.filter("__bit").join(odd, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__v0") == F.col("__v")), "left")
+    kept = bit.filter("not __bit").select(docs.columns).unionByName(met.filter("__first is null").select(docs.columns))
+    if odd.filter("__first").isEmpty():
+        return kept
     others = [c for c in docs.columns if c != "doc_id"]
     one = F.min_by(F.struct(*others), F.struct("lang", "source"))
-    repeated = kept.join(again, hit, "left_semi").groupBy("doc_id", "__v0").agg(one.alias("x")).select("doc_id", *[F.col(f"x.`{c}`") for c in others])
-    return kept.join(again, hit, "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))
+    repeated = met.filter("__first").groupBy("doc_id", "__v0").agg(one.alias("x")).select("doc_id", *[F.col(f"x.`{c}`") for c in others])
+    return kept.unionByName(repeated.select(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

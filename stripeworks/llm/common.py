@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..storage import cut, discard
 
-__all__ = ["CELLS", "GAP", "SPACE", "UPPER", "WORD", "cut", "discard", "give_back", "let", "map_texts", "n_words_of", "sheltered", "with_rank", "words_of"]
+__all__ = ["CELLS", "GAP", "SPACE", "UPPER", "WORD", "bits_of", "cut", "discard", "give_back", "let", "map_texts", "n_words_of", "sheltered", "with_bit", "with_rank", "words_of"]
 
 #: The white space of all contracts: space and the five controls from tab to carriage return.
 SPACE = " \t\n\x0b\f\r"
@@ -26,6 +26,27 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CELLS = 1021
 
 
+#: Bits of a filter, in rows of as many as Spark's bitmaps have; it is fixed, so 4 MB are broadcast at most.
+FILTER_BITS, ROW_BITS = 1 << 25, 1 << 15
+
+
+def bits_of(keys: DataFrame, *columns: str) -> DataFrame:
+    """A filter over the hashes of ``columns``, for ``with_bit``: two keys may share a bit, none goes without."""
+    bit = keys.select(F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)).alias("b"))
+    at = (F.col("b") % ROW_BITS).cast("long")
+    return bit.groupBy(F.floor(F.col("b") / ROW_BITS).cast("long").alias("__part")).agg(F.bitmap_construct_agg(at).alias("__bits"))
+
+
+def with_bit(df: DataFrame, bits: DataFrame, *columns: str) -> DataFrame:
+    """Add ``__bit``: false if no key of ``bits`` has the values of ``columns`` (null equals null); true if one has, or at times by chance."""
+    bit = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    marked = df.withColumn("__part0", F.floor(bit / ROW_BITS).cast("long")).withColumn("__at", (bit % ROW_BITS).cast("int"))
+    joined = marked.join(F.broadcast(bits), F.col("__part0") == F.col("__part"), "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, __at div 8 + 1, 1)")), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, F.col("__at") % 8) == 1, F.lit(False))
+    return joined.withColumn("__bit", is_set).drop("__part0", "__at", "__part", "__bits")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` computed once, even where the optimizer would copy it into a lambda."""
     return F.transform(F.array(value), body)[0]

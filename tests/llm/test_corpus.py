@@ -522,3 +522,43 @@ def test_near_duplicate_stage_tells_rows_apart_by_text(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, one), (1, other), (5, " ".join(a))])
+
+
+def test_filters_miss_no_key(spark):
+    from stripeworks.llm.common import bits_of, with_bit
+
+    rows = spark.range(40_000).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("id"), F.md5((F.col("id") % 30_000).cast("string")).alias("v"))
+    keys = rows.filter(F.xxhash64("v") % 10 == 0)
+    got = with_bit(rows, bits_of(keys.select(F.col("v").alias("kv"), F.col("id").alias("ki")), "kv", "ki"), "v", "id")
+    n, lost, chance = got.select(F.xxhash64("v") % 10 == 0, "__bit").toDF("key", "hit").agg(F.count("*"), F.count(F.when(F.expr("key and not hit"), 1)), F.count(F.when(F.expr("hit and not key"), 1))).first()
+    assert n == 40_000 and lost == 0 and chance < 60
+    assert with_bit(rows, bits_of(keys.limit(0), "v", "id"), "v", "id").filter("__bit").isEmpty()
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    store.listenerBus().waitUntilEmpty(30_000)
+    stages = store.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_duplicate_stage_moves_few_texts(spark, tmp_path):
+    """Texts that have no near copy are neither shuffled nor left on disk."""
+    import os
+    import random
+    import string
+
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choices(string.ascii_letters + string.digits, k=200)) for _ in range(100)) for _ in range(150)]
+    texts += [t + " end" for t in texts[:6]] + texts[6:9]
+    total = sum(map(len, texts))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(20, texts[20], "de", "s", 1), (None, texts[21], "en", "s", 2), (None, "no id", "en", "s", 3), (None, "no id", "de", "s", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(str(tmp_path / "in"))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    on_disk = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(shared.removeprefix("file:")) for f in names)
+    before, held = _shuffled(spark), on_disk()
+    corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "in")), "").write.parquet(str(tmp_path / "out"))
+    assert _shuffled(spark) - before < 0.7 * total and on_disk() - held < 0.3 * total
+    kept = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.lang) for r in kept) == [(False, i, "de" if i == 20 else "en") for i in range(150)] + [(True, None, "de")]
