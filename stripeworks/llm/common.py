@@ -26,7 +26,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CELLS = 1021
 
 
-#: Bits of a filter, in rows of as many as Spark's bitmaps have; it is fixed, so 4 MB are broadcast at most.
+#: Bits of a filter, in rows of as many as Spark's bitmaps have; it is fixed, so what is broadcast (4 MB of bits) does not grow with the keys.
 FILTER_BITS, ROW_BITS = 1 << 25, 1 << 15
 
 
